@@ -204,15 +204,22 @@ def _scored(rows: DataFrame) -> DataFrame:
     )
 
 
-def _by_id(hits: DataFrame, queries: QuerySet) -> DataFrame:
-    """Give every query id the hits of its distinct query."""
+def _by_id(hits: DataFrame, queries: QuerySet, *found: str) -> DataFrame:
+    """Give every query id the ``found`` columns and functions of its distinct query."""
+    columns = ["query_id", *found, *FUNCTION_COLUMNS]
     keyed = queries.keyed
     if queries.total > 4 * queries.count:
         # Many ids share a query: spread the ids of one query over several tasks.
         keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(SALT)).cast("int"))
         hits = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        return keyed.join(hits, ["qkey", "_salt"]).select("query_id", "rank", "score", *FUNCTION_COLUMNS)
-    return keyed.join(hits, "qkey").select("query_id", "rank", "score", *FUNCTION_COLUMNS)
+        return keyed.join(hits, ["qkey", "_salt"]).select(*columns)
+    return keyed.join(hits, "qkey").select(*columns)
+
+
+def candidates_batch(functions: DataFrame, queries: DataFrame, limit: int = 500) -> DataFrame:
+    """Candidates of every query, as the single search would rank them; ``limit`` is not negative."""
+    asked = _query_set(queries)
+    return _by_id(_candidates(functions, asked, limit), asked)
 
 
 def search_batch(
@@ -239,7 +246,7 @@ def search_batch(
             .withColumn("rank", F.row_number().over(ranked))
             .where(F.col("rank") <= top)
         )
-    return _by_id(hits.select("qkey", "rank", "score", *FUNCTION_COLUMNS), asked)
+    return _by_id(hits.select("qkey", "rank", "score", *FUNCTION_COLUMNS), asked, "rank", "score")
 
 
 def _unlimited(functions: DataFrame, asked: QuerySet, top: int) -> DataFrame:
@@ -272,7 +279,7 @@ def search_exact_batch(
     distance that ``top`` functions are known to keep, and nothing farther is looked at.
     """
     asked = _query_set(queries)
-    return _by_id(_exact(functions, asked, max(0, top), max_distance), asked)
+    return _by_id(_exact(functions, asked, max(0, top), max_distance), asked, "rank", "score")
 
 
 def _reach(functions: DataFrame, asked: QuerySet, top: int) -> DataFrame:
