@@ -36,7 +36,6 @@ BAND = 8
 UNBOUNDED = 1 << 30
 
 NAME, SIGNATURE = "n", "s"
-EMPTY = "array<string>"
 
 
 @dataclass
@@ -64,11 +63,8 @@ def _query_set(queries: DataFrame, blank_is_empty: bool = False) -> QuerySet:
 
 
 def _grams(text: Column, size: int) -> Column:
-    """All substrings of one length."""
-    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
-    return F.when(
-        F.length(text) >= size, F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-    ).otherwise(F.array().cast(EMPTY))
+    """All substrings of one length, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def _probes(distinct: DataFrame) -> DataFrame:
@@ -110,15 +106,15 @@ def _text_grams(text: Column, sizes: list[int]) -> Column:
 
 def _function_grams(functions: DataFrame, sizes: dict[str, list[int]], keep: list[str]) -> DataFrame:
     """One row per function, side and gram."""
-    columns = {NAME: F.col("name"), SIGNATURE: F.col("signature_norm")}
-    tagged = [
-        F.transform(
-            _text_grams(ascii_fold(columns[side]), sizes[side]),
-            lambda gram, side=side: F.struct(F.lit(side).alias("side"), gram.alias("gram")),
-        )
-        for side in sorted(sizes)
-    ]
-    return functions.select(*keep, F.explode(F.concat(*tagged)).alias("_g")).select(*keep, "_g.*")
+    # Folded beforehand: an expression inside a lambda would be evaluated once per gram.
+    columns = {NAME: "name", SIGNATURE: "signature_norm"}
+    folded = functions.select(*keep, *(ascii_fold(F.col(columns[side])).alias(f"_{side}") for side in sorted(sizes)))
+    tagged = [_tagged(side, _text_grams(F.col(f"_{side}"), sizes[side])) for side in sorted(sizes)]
+    return folded.select(*keep, F.explode(F.concat(*tagged)).alias("_g")).select(*keep, "_g.*")
+
+
+def _tagged(side: str, grams: Column) -> Column:
+    return F.transform(grams, lambda gram: F.struct(F.lit(side).alias("side"), gram.alias("gram")))
 
 
 def _equi_join(big: DataFrame, small: DataFrame, keys: list[str], rows: int, salt_of: list[str]) -> DataFrame:
