@@ -27,8 +27,11 @@ from declarium.operators.search import (
 from declarium.operators.top import top_per_group
 from declarium.plans.shared import written
 
-# Rows of a table derived from queries that may be broadcast.
+# Rows and bytes of text of a table derived from queries that may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+# First functions that may be broadcast.
+FIRST_ROWS = 10_000
 # Slices of a join key where both sides are shuffled.
 SALT = 32
 # Byte lengths per bucket in the length join.
@@ -46,6 +49,15 @@ class QuerySet:
     distinct: DataFrame
     total: int
     count: int
+    bytes: int
+
+    def fits(self, copies: int = 1) -> bool:
+        """True if a table with so many rows per distinct query may be broadcast."""
+        return _fits(self.count * copies, self.bytes * copies)
+
+
+def _fits(rows: int, size: int) -> bool:
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def _query_set(queries: DataFrame, blank_is_empty: bool = False) -> QuerySet:
@@ -54,12 +66,17 @@ def _query_set(queries: DataFrame, blank_is_empty: bool = False) -> QuerySet:
         parsed = parsed.where(strip(F.col("query_text")) != "")
     key = F.to_json(F.array("name", "signature_norm"), {"ignoreNullFields": "false"})
     keyed = written(parsed.select("query_id", key.alias("qkey"), "name", "signature_norm"))
-    distinct = written(
-        keyed.select(
-            "qkey", F.col("name").alias("qname"), F.col("signature_norm").alias("qsig")
-        ).distinct()
-    )
-    return QuerySet(keyed.select("query_id", "qkey"), distinct, keyed.count(), distinct.count())
+    grouped = keyed.groupBy("qkey", F.col("name").alias("qname"), F.col("signature_norm").alias("qsig"))
+    return _sized(keyed.select("query_id", "qkey"), written(grouped.agg(F.count("*").alias("ids"))))
+
+
+def _sized(keyed: DataFrame, distinct: DataFrame) -> QuerySet:
+    extent = distinct.agg(
+        F.count("*").alias("count"),
+        F.coalesce(F.sum("ids"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.octet_length("qkey")), F.lit(0)).alias("bytes"),
+    ).first()
+    return QuerySet(keyed, distinct.drop("ids"), extent["total"], extent["count"], extent["bytes"])
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -117,9 +134,9 @@ def _tagged(side: str, grams: Column) -> Column:
     return F.transform(grams, lambda gram: F.struct(F.lit(side).alias("side"), gram.alias("gram")))
 
 
-def _equi_join(big: DataFrame, small: DataFrame, keys: list[str], rows: int, salt_of: list[str]) -> DataFrame:
-    """Join on ``keys``: broadcast ``small`` within the bound, else shuffle both with a salt."""
-    if rows <= BROADCAST_ROWS:
+def _equi_join(big: DataFrame, small: DataFrame, keys: list[str], fits: bool, salt_of: list[str]) -> DataFrame:
+    """Join on ``keys``: broadcast ``small`` if it ``fits``, else shuffle both with a salt."""
+    if fits:
         return big.join(F.broadcast(small), keys)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_of), F.lit(SALT)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -149,7 +166,8 @@ def _matches(functions: DataFrame, queries: QuerySet) -> DataFrame | None:
     )
     chosen = probes.drop("grams").join(rarest, ["qkey", "side"])
     rows = _function_grams(functions.select(*FUNCTION_COLUMNS), sizes, FUNCTION_COLUMNS)
-    joined = _equi_join(rows, chosen, ["side", "gram"], 2 * queries.count, ["path", "line", "column"])
+    # Two probes per query, each with up to three forms of its text.
+    joined = _equi_join(rows, chosen, ["side", "gram"], queries.fits(6), ["path", "line", "column"])
     text = ascii_fold(F.when(F.col("side") == NAME, F.col("name")).otherwise(F.col("signature_norm")))
     whole = F.contains(text, F.col("run")) & (~F.col("wild") | F.like(text, F.col("pattern")))
     # The name side already yields a function whose name matches.
@@ -168,7 +186,7 @@ def _first_functions(functions: DataFrame, order: list[Column], n: int) -> DataF
 def _with_first(queries: DataFrame, first: DataFrame, n: int) -> DataFrame:
     """Every query with each of the first functions, by their number."""
     numbered = queries.withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return numbered.join(F.broadcast(first) if n <= BROADCAST_ROWS else first, "seq")
+    return numbered.join(_small(first, n <= FIRST_ROWS), "seq")
 
 
 def _candidates(functions: DataFrame, queries: QuerySet, limit: int) -> DataFrame:
@@ -185,7 +203,7 @@ def _candidates(functions: DataFrame, queries: QuerySet, limit: int) -> DataFram
     first = _first_functions(functions, order, limit)
     steps = F.when(F.col("match").isNull(), F.sequence(F.lit(1), F.lit(limit))).otherwise(F.array(F.lit(0)))
     filled = asked.withColumn("seq", F.explode(steps)).join(
-        F.broadcast(first) if limit <= BROADCAST_ROWS else first, "seq", "left"
+        _small(first, limit <= FIRST_ROWS), "seq", "left"
     )
     return (
         filled.select("qkey", "qname", "qsig", F.coalesce("match", "first").alias("_f"))
@@ -251,18 +269,18 @@ def _unlimited(functions: DataFrame, asked: QuerySet, top: int) -> DataFrame:
     if matched is None:
         return _exact(functions, asked, top, None).select(*columns)
     # A top of 0 still has to tell the queries that match.
-    near = _scored(matched.join(_small(asked.distinct, asked.count), "qkey"))
+    near = _scored(matched.join(_small(asked.distinct, asked.fits(2)), "qkey"))
     near = written(top_per_group(near, ["qkey"], hit_order(), max(1, top), rank="rank").select(*columns))
-    rest = written(asked.distinct.join(near.select("qkey").distinct(), "qkey", "left_anti"))
-    count = rest.count()
+    rest = written(asked.distinct.join(near.select("qkey").distinct(), "qkey", "left_anti").withColumn("ids", F.lit(1)))
+    unmatched = _sized(rest, rest)
     near = near.where(F.col("rank") <= top)
-    if count == 0:
+    if unmatched.count == 0:
         return near
-    return near.unionByName(_exact(functions, QuerySet(rest, rest, count, count), top, None).select(*columns))
+    return near.unionByName(_exact(functions, unmatched, top, None).select(*columns))
 
 
-def _small(queries: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(queries) if rows <= BROADCAST_ROWS else queries
+def _small(rows: DataFrame, fits: bool) -> DataFrame:
+    return F.broadcast(rows) if fits else rows
 
 
 def search_exact_batch(
@@ -287,7 +305,7 @@ def _reach(functions: DataFrame, asked: QuerySet, top: int) -> DataFrame:
     matched = _matches(functions, asked)
     if matched is not None:
         cut = top_per_group(matched, ["qkey"], candidate_order(), n)
-        bounds.append(_scored(cut.join(_small(asked.distinct, asked.count), "qkey")))
+        bounds.append(_scored(cut.join(_small(asked.distinct, asked.fits(2)), "qkey")))
     reached = None
     for rows in bounds:
         bound = rows.withColumn("_p", position).where(F.col("_p") == max(1, top)).select("qkey", "score")
@@ -338,7 +356,9 @@ def _exact(functions: DataFrame, asked: QuerySet, top: int, max_distance: int |
     gap = F.coalesce(F.abs(F.length("bs") - F.length("qs")), F.lit(0)) + F.coalesce(
         F.abs(F.length("bn") - F.length("qn")), F.lit(0)
     )
-    near = _equi_join(placed, bands, ["side", "band"], bands.count(), ["bn", "bs"]).where(gap <= F.col("reach"))
+    extent = bands.agg(F.count("*").alias("rows"), F.sum(F.octet_length("qkey") * 2).alias("bytes")).first()
+    fits = _fits(extent["rows"], extent["bytes"] or 0)
+    near = _equi_join(placed, bands, ["side", "band"], fits, ["bn", "bs"]).where(gap <= F.col("reach"))
     near = near.withColumn("_ds", F.expr("CASE WHEN qs IS NULL THEN 0 ELSE levenshtein(bs, qs, reach) END"))
     near = near.where(F.col("_ds") >= 0).withColumn(
         "_dn", F.expr("CASE WHEN qn IS NULL THEN 0 ELSE levenshtein(bn, qn, reach - _ds) END")
@@ -346,7 +366,8 @@ def _exact(functions: DataFrame, asked: QuerySet, top: int, max_distance: int |
     near = near.where(F.col("_dn") >= 0).withColumn("score", F.col("_ds") + F.col("_dn"))
     # The first ``top`` functions lie in the first ``top`` groups by their first function.
     best = top_per_group(near, ["qkey"], hit_order(), max(1, top)).select("qkey", "score", "bn", "bs")
-    found = heads.join(_small(best, asked.count * max(1, top)), ["bn", "bs"])
+    # Rows that hold a function's own text, whose size no query tells: left to the size Spark measures.
+    found = heads.join(best, ["bn", "bs"])
     none = F.lit(0)
     first = _unpack(_with_first(asked.distinct.where(blank), _first_functions(functions, order, top), top)) if top else None
     hits = found.select("qkey", "score", *FUNCTION_COLUMNS)
