@@ -20,6 +20,10 @@ BROADCAST_PATHS = 1_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 
 
+# Fixed value: the columns of Spark's binary file source, which a stream must be told.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def _any_case(suffix: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
@@ -86,7 +90,8 @@ class FolderSource:
 
     def stream(self, max_files_per_trigger: int = 10_000) -> DataFrame:
         """New files as they appear. Edits of a file already seen need :func:`refresh`."""
-        files = self._reader(stream=True).option("maxFilesPerTrigger", max_files_per_trigger).load(self.root)
+        reader = self._reader(stream=True).schema(BINARY_FILE).option("maxFilesPerTrigger", max_files_per_trigger)
+        files = reader.load(self.root)
         return self._described(files, "content")
 
 
