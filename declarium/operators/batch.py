@@ -37,6 +37,9 @@ SALT = 32
 # Byte lengths per bucket in the length join.
 BAND = 8
 UNBOUNDED = 1 << 30
+# Distances one task should take, and the most tasks to cut them into.
+DISTANCES_PER_TASK = 20_000_000
+MOST_TASKS = 50_000
 
 NAME, SIGNATURE = "n", "s"
 
@@ -313,6 +316,11 @@ def _reach(functions: DataFrame, asked: QuerySet, top: int) -> DataFrame:
     return reached.groupBy("qkey").agg(F.min("score").alias("reach"))
 
 
+def _tasks(functions: DataFrame, distances: int) -> int:
+    cores = functions.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(MOST_TASKS, distances // DISTANCES_PER_TASK))
+
+
 def _unpack(rows: DataFrame) -> DataFrame:
     return rows.select("qkey", "qname", "qsig", "first.*")
 
@@ -326,7 +334,9 @@ def _exact(functions: DataFrame, asked: QuerySet, top: int, max_distance: int |
     )
     heads = written(top_per_group(forms, ["bn", "bs"], order, max(1, top), rank="copy"))
     groups = heads.where(F.col("copy") == 1)
-    longest = heads.agg(F.max(F.length("bn")).alias(NAME), F.max(F.length("bs")).alias(SIGNATURE)).first()
+    longest = heads.agg(
+        F.max(F.length("bn")).alias(NAME), F.max(F.length("bs")).alias(SIGNATURE), F.count_if(F.col("copy") == 1).alias("groups")
+    ).first()
     if max_distance is None:
         reach = asked.distinct.join(_reach(functions, asked, top), "qkey", "left")
         reach = reach.withColumn("reach", F.coalesce("reach", F.lit(UNBOUNDED)))
@@ -352,16 +362,18 @@ def _exact(functions: DataFrame, asked: QuerySet, top: int, max_distance: int |
         F.struct(F.lit(SIGNATURE).alias("side"), F.floor(F.length("bs") / BAND).alias("band")),
     )
     keys = ["bn", "bs", "name", "path", "line", "column", "signature_norm"]
-    placed = groups.select(*keys, F.explode(lengths).alias("_l")).select(*keys, "_l.*")
+    # The table is small beside the distances taken from it: slice it by those, not by its bytes.
+    tasks = _tasks(functions, longest["groups"] * asked.count)
+    placed = groups.select(*keys).repartition(tasks).select(*keys, F.explode(lengths).alias("_l")).select(*keys, "_l.*")
     gap = F.coalesce(F.abs(F.length("bs") - F.length("qs")), F.lit(0)) + F.coalesce(
         F.abs(F.length("bn") - F.length("qn")), F.lit(0)
     )
     extent = bands.agg(F.count("*").alias("rows"), F.sum(F.octet_length("qkey") * 2).alias("bytes")).first()
     fits = _fits(extent["rows"], extent["bytes"] or 0)
     near = _equi_join(placed, bands, ["side", "band"], fits, ["bn", "bs"]).where(gap <= F.col("reach"))
-    near = near.withColumn("_ds", F.expr("CASE WHEN qs IS NULL THEN 0 ELSE levenshtein(bs, qs, reach) END"))
+    near = near.withColumn("_ds", F.expr("CASE WHEN qs IS NULL OR bs = qs THEN 0 ELSE levenshtein(bs, qs, reach) END"))
     near = near.where(F.col("_ds") >= 0).withColumn(
-        "_dn", F.expr("CASE WHEN qn IS NULL THEN 0 ELSE levenshtein(bn, qn, reach - _ds) END")
+        "_dn", F.expr("CASE WHEN qn IS NULL OR bn = qn THEN 0 ELSE levenshtein(bn, qn, reach - _ds) END")
     )
     near = near.where(F.col("_dn") >= 0).withColumn("score", F.col("_ds") + F.col("_dn"))
     # The first ``top`` functions lie in the first ``top`` groups by their first function.

@@ -25,6 +25,13 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/declarium/{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer splits than the cluster has cores, before work that is heavy
+    per row; a scan with enough splits is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back: computed once, and not lost with an executor."""
     spark = df.sparkSession

@@ -11,11 +11,12 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from declarium.plans.shared import spread
 from declarium.operators.extract import explode_functions, extract_functions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pick(number: Column, *values: str) -> Column:

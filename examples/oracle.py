@@ -56,13 +56,14 @@ ORDER = f"{fold('name')}, {fold('path')}, line, col, path, name, signature_norm"
 HIT_ORDER = f"score, lower(name), lower(path), line, col, {ORDER}"
 
 PART_QUERIES = f"""
-q AS (
+ids AS (
   SELECT p_partkey AS query_id,
     CASE p_partkey % 6 WHEN 0 THEN nm WHEN 2 THEN upper(nm) WHEN 3 THEN 'q' || nm || 'zz'
       WHEN 4 THEN substr(nm, 1, 2) || '%' || substr(nm, -3, 3) END AS qn,
     CASE WHEN p_partkey % 6 IN (0, 1) THEN {pick('p_size', *quoted('int ( int )', 'void ( const char * , size_t )', 'const char * ( int ( * ) ( int , int ) , ... )', 'size_t ( )'))} END AS qs
   FROM (SELECT p_partkey, p_size, replace(p_name, ' ', '_') AS nm FROM part)
-)"""
+),
+q AS (SELECT row_number() OVER () AS query_id, qn, qs FROM (SELECT DISTINCT qn, qs FROM ids))"""
 SUPPLIER_QUERIES = f"""
 q AS (
   SELECT s_suppkey AS query_id, 'Get' || (s_suppkey * 7) || {pick('s_suppkey', *quoted('', '_widget', '_bolt'))} AS qn,
@@ -111,6 +112,14 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {HIT_ORDE
 SELECT {columns} FROM r WHERE rank <= {top}"""
 
 
+def for_ids(sql: str) -> str:
+    """Give every id the rows of its distinct query."""
+    ctes, last = sql.rsplit("SELECT query_id, rank", 1)
+    last = last.replace("FROM r WHERE", "FROM (SELECT ids.query_id, r.* EXCLUDE (query_id, qn, qs) FROM ids JOIN r "
+                        "ON ids.qn IS NOT DISTINCT FROM r.qn AND ids.qs IS NOT DISTINCT FROM r.qs) WHERE")
+    return f"{ctes}SELECT query_id, rank{last}"
+
+
 def every_pair(queries: str) -> str:
     return f"WITH {PARTS}, {queries}, a AS (SELECT q.*, f.* FROM q, f)"
 
@@ -224,7 +233,7 @@ ORACLE = {
     "search_fallback": ranked(candidates(one_query("qqq_widget", None), 300), "a", 15, True),
     "search_interactive": ranked(candidates(one_query("bolt", "void ( int )"), 300), "a", 50, True),
     "search_exhaustive": ranked(every_pair(one_query("gt_12", "int ( int , char )")), "a", 40, True),
-    "search_batch": ranked(candidates(PART_QUERIES, 40), "a", 5),
+    "search_batch": for_ids(ranked(candidates(PART_QUERIES, 40), "a", 5)),
     "search_batch_unlimited": ranked(candidates(SUPPLIER_QUERIES, None), "a", 4),
     "search_batch_documents": f"""WITH t AS (
           SELECT source || '/' || doc_id AS path, lang AS name, {normalised('text')} AS signature_norm, 1 AS line, 1 AS col FROM documents
@@ -239,7 +248,7 @@ ORACLE = {
           SELECT * FROM m UNION ALL
           SELECT q.query_id, fb.* FROM q, fb WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.query_id = q.query_id))""",
     "search_exact": ranked(every_pair(SUPPLIER_QUERIES), "a", 5),
-    "search_within": ranked(every_pair(PART_QUERIES), "a", 5, where="WHERE score <= 6"),
+    "search_within": for_ids(ranked(every_pair(PART_QUERIES), "a", 5, where="WHERE score <= 6")),
     "change_detection": """WITH e AS (
           SELECT 'u' || user_id || '.c' AS path, ts, CAST(round(value * 100) AS BIGINT) AS size, ts < TIMESTAMP '2024-01-20' AS early
           FROM events
@@ -267,5 +276,5 @@ ORACLE = {
     "format_hits": f"""WITH {PARTS} SELECT path || ':' || line || ':' || col AS location, params_text AS params,
         path || ':' || line || ':' || col || ': ' || name || ' :: ' || return_type || '(' || params_text || ')' AS hit FROM f""",
     "stream_index": f"{LIVE} SELECT {HIT} FROM live",
-    "stream_search": ranked(candidates(PART_QUERIES, 40), "a", 5),
+    "stream_search": for_ids(ranked(candidates(PART_QUERIES, 40), "a", 5)),
 }
