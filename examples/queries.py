@@ -198,7 +198,7 @@ def search_batch_documents(spark, sf_dir):
         F.lit(1).alias("column"),
     )
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    found = candidates_batch(texts, asked, limit=50)
+    found = candidates_batch(written(texts), asked, limit=50)
     return found.select("query_id", "path", "name", F.length("signature_norm").alias("n_chars"))
 
 
