@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPREAD = 64
+# Up to here what the input partitions keep of one group is little enough for one task.
+ONE_STEP = 32
 
 
 def top_per_group(
@@ -13,19 +15,17 @@ def top_per_group(
 ) -> DataFrame:
     """First ``n`` rows per ``keys`` by ``order``; ``rank`` names the position column, if wanted.
 
-    Two steps: the first cuts every group in up to ``SPREAD`` slices by input partition (Spark
-    also cuts within each input partition before the shuffle), so the second never sees more
-    than ``SPREAD * n`` rows of a group, however large the group is.
+    Spark cuts every group within each input partition before the shuffle (for ``n`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default), so a large group sends
+    ``n`` rows per partition and not all of its rows. For a large ``n`` the group is cut once more
+    in up to ``SPREAD`` slices by input partition, so that the last step sees at most
+    ``SPREAD * n`` rows of it.
     """
     position = rank or "_position"
-    sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    if n > ONE_STEP:
+        df = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+        local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        df = df.withColumn("_local", F.row_number().over(local)).where(F.col("_local") <= n).drop("_local", "_slice")
     final = Window.partitionBy(*keys).orderBy(*order)
-    kept = (
-        sliced.withColumn("_local", F.row_number().over(local))
-        .where(F.col("_local") <= n)
-        .drop("_local", "_slice")
-        .withColumn(position, F.row_number().over(final))
-        .where(F.col(position) <= n)
-    )
+    kept = df.withColumn(position, F.row_number().over(final)).where(F.col(position) <= n)
     return kept if rank else kept.drop(position)

@@ -164,15 +164,16 @@ def test_many_copies_of_one_query(spark, functions, rows):
     assert len(found) == 400 and all(keys(hits) == want for hits in found.values())
 
 
-def test_top_per_group_with_one_hot_group(spark):
+@pytest.mark.parametrize("n", [2, 40])
+def test_top_per_group_with_one_hot_group(spark, n):
     df = spark.range(0, 3000, 1, 7).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).alias("k"), "id")
-    got = top_per_group(df, ["k"], [F.col("id").desc()], 2, rank="r").collect()
+    got = top_per_group(df, ["k"], [F.col("id").desc()], n, rank="r").collect()
     want = {}
     for i in range(2999, -1, -1):
         group = want.setdefault(0 if i % 3 == 0 else i % 50, [])
-        if len(group) < 2:
+        if len(group) < n:
             group.append(i)
-    assert sorted((r["k"], r["r"], r["id"]) for r in got) == sorted((k, n + 1, i) for k, ids in want.items() for n, i in enumerate(ids))
+    assert sorted((r["k"], r["r"], r["id"]) for r in got) == sorted((k, p, i) for k, ids in want.items() for p, i in enumerate(ids, 1))
 
 
 def plan(df):
