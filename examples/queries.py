@@ -246,7 +246,8 @@ def index_upsert(spark, sf_dir):
 
 
 def live_functions(spark, sf_dir):
-    index, _ = _index(spark, sf_dir, max_files_per_batch=400)
+    seventh = table(spark, sf_dir, "part").count() // 7 + 1
+    index, _ = _index(spark, sf_dir, max_files_per_batch=seventh)
     return index.functions().select(*hit())
 
 
