@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from declarium.llm.decontaminate import find_items
 from declarium.llm.substring_dedup import remove_repeated
 
 
@@ -12,6 +13,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of 10 words of the benchmark."""
+    ids = F.array_sort(F.transform("hits.items", lambda i: i.cast("string")))
+    return find_items(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), 10).select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.col("hits.longest").alias("longest_match"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a smaller document has, removed from all documents."""
     return remove_repeated(_read(spark, sf_dir, "documents"), 13).select(
@@ -19,6 +29,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
 }
 
