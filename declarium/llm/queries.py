@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declarium.llm.decontaminate import find_items
+from declarium.llm.near_dedup import near_groups
 from declarium.llm.substring_dedup import remove_repeated
 
 
@@ -28,7 +29,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of each document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_groups(docs).select(F.col("row.doc_id").alias("doc_id"), "class_id", "kept")
+
+
 QUERIES = {
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
 }
