@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from declarium.llm.decontaminate import find_items
 from declarium.llm.near_dedup import near_groups
+from declarium.llm.quality import quality_scores
 from declarium.llm.substring_dedup import remove_repeated
 
 
@@ -14,6 +15,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of 10 words of the benchmark."""
     ids = F.array_sort(F.transform("hits.items", lambda i: i.cast("string")))
@@ -36,6 +42,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
