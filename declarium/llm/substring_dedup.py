@@ -337,7 +337,9 @@ def _levels(longer: DataFrame) -> tuple[DataFrame, list[str]]:
         at = longer.where(F.col("level") == level)
         if alive is not None:
             at = at.join(alive.select("block", "doc_id", "stretch").distinct(), ["block", "doc_id", "stretch"], "left_semi")
-        again = at.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash")
+        # Written before the join, so that Spark can split a hash that very many documents have.
+        again, folder = store.parked(at.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash"))
+        folders.append(folder)
         alive, folder = store.parked(at.join(again, "hash", "left_semi").select("block", "doc_id", "stretch").distinct())
         folders.append(folder)
         levels.append(alive.withColumn("level", F.lit(level)))
