@@ -9,6 +9,7 @@ from declarium.llm.decontaminate import find_items
 from declarium.llm.near_dedup import near_groups
 from declarium.llm.quality import quality_scores
 from declarium.llm.substring_dedup import remove_repeated
+from declarium.llm.toxicity import toxicity_scores
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, _read(spark, sf_dir, "labels")).select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of each document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +50,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
