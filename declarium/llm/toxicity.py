@@ -68,17 +68,21 @@ def _votes(column: pa.Array, terms: np.ndarray) -> np.ndarray:
 
 
 class LabelModel(NamedTuple):
-    """Sources (groups of voters), the rate at which each votes in either class, and the class prior."""
+    """Sources (groups of voters), the rate at which each votes in either class, the rate of rows
+    without any vote, and the class prior."""
 
     source: np.ndarray
     rate: np.ndarray
+    silent: np.ndarray
     prior: float
     correlation: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds of the toxic class, given the votes. A source that does not vote abstains and says
+        nothing (its signs may be of another language); that none votes is an observation of its own."""
         fires = _by_source(votes > 0, self.source)
-        odds = np.log(self.prior / (1 - self.prior)) + fires @ np.log(self.rate[1] / self.rate[0]) + (~fires) @ np.log((1 - self.rate[1]) / (1 - self.rate[0]))
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        silent = ~fires.any(1)
+        return np.log(self.prior / (1 - self.prior)) + fires @ np.log(self.rate[1] / self.rate[0]) + silent * np.log(self.silent[1] / self.silent[0])
 
 
 def _by_source(fires: np.ndarray, source: np.ndarray) -> np.ndarray:
@@ -99,8 +103,12 @@ def _correlation(fires: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total / var[:, None] / var[None, :]
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, joined: float = 0.5, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation from ``start``, the first guess of the posterior."""
+def fit_label_model(votes: np.ndarray, label: np.ndarray, joined: float = 0.5, trust: float = 0.95, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
+    """Expectation maximisation, and the posterior of each row. The given label is one more voter,
+    whose accuracy ``trust`` is fixed: it keeps the hidden class from turning into something else
+    that many voters share, such as a language."""
+    start = trust * label + (1 - trust) * (1 - label)
+    given, prior = np.log(start / (1 - start)), float(label.mean())
     fires = (votes > 0).astype(float)
     correlation = _correlation(fires, start)
     source = np.arange(votes.shape[1])
@@ -109,15 +117,15 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, joined:
     source = np.unique(source, return_inverse=True)[1]
     own = _by_source(votes > 0, source).astype(float)
     q = start
-    model = None
     for _ in range(rounds):
         # Half a vote added on each side; a source is never less likely to vote in the toxic class.
         rate = np.array([(part @ own + 0.5) / (part.sum() + 50) for part in (1 - q, q)])
         rate = np.clip(rate, 1e-6, 1 - 1e-6)
         rate[1] = np.maximum(rate[0], rate[1])
-        model = LabelModel(source, rate, float(np.clip((q.sum() + prior * 50) / (len(q) + 50), 1e-4, 0.9)), correlation)
-        q = model.posterior(votes)
-    return model
+        silent = np.array([(part @ (own.sum(1) == 0) + 0.5) / (part.sum() + 50) for part in (1 - q, q)])
+        model = LabelModel(source, rate, silent, float(np.clip((q.sum() + prior * 50) / (len(q) + 50), 1e-4, 0.9)), correlation)
+        q = 1 / (1 + np.exp(-np.clip(model.odds(votes) + given, -500, 500)))
+    return model, q
 
 
 def _features(votes: np.ndarray) -> np.ndarray:
@@ -176,7 +184,8 @@ def _mined(sample: DataFrame, most_terms: int, least: float) -> np.ndarray:
     counts = sample.mapInArrow(counted, "term long, toxic long, df long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("df").alias("df"))
     # Terms without a toxic document in a batch are not sent from it, so their documents are counted
     # again, over the whole sample, for the terms that remain.
-    best = counts.where("toxic >= 4").orderBy(F.desc("toxic"), "term").limit(20 * most_terms).collect()
+    best = counts.where(F.col("toxic") >= 4).where(F.col("toxic") - F.sqrt("toxic") >= least * F.col("df"))
+    best = best.orderBy(F.desc("toxic"), "term").limit(20 * most_terms).collect()
     terms = np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
     if not len(terms):
         return terms
@@ -223,8 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     y = rows.column("y").to_numpy().astype(float)
     # The sample holds the classes in other shares than the corpus; weights put that right.
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    model = fit_label_model(votes, 0.95 * y + 0.025, float(y.mean()))
-    q = model.posterior(votes)
+    model, q = fit_label_model(votes, y)
     return Model(terms, fit_linear(_features(votes), q, weight), model)
 
 
