@@ -206,7 +206,7 @@ def _mined(sample: DataFrame, most_terms: int, least: float) -> np.ndarray:
     return np.array([r.term for r in chosen], np.int64).view(np.uint64)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 6000, most_terms: int = 300, least: float = 0.5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 6000, most_terms: int = 300, least: float = 0.5, trust: float = 0.999, penalty: float = 1.0) -> Model:
     """The classifier, from the documents with a label that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).distinct()
@@ -232,8 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     y = rows.column("y").to_numpy().astype(float)
     # The sample holds the classes in other shares than the corpus; weights put that right.
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    model, q = fit_label_model(votes, y)
-    return Model(terms, fit_linear(_features(votes), q, weight), model)
+    model, q = fit_label_model(votes, y, trust=trust)
+    return Model(terms, fit_linear(_features(votes), q, weight, penalty), model)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
