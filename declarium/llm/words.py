@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer single text is one batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SEGMENT = 1 << 20
 
 _LETTERS = np.random.default_rng(20240517).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -91,12 +91,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(whole[at[0] : at[-1]], at - at[0])
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text."""
+def pieces(batches: Iterator[pa.RecordBatch], *texts: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, counted over the columns ``texts``."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(np.diff(texts_of(batch.column(text)).offsets))
+        sizes = np.cumsum(sum(np.diff(texts_of(batch.column(c)).offsets) for c in texts or ("text",)))
         start = 0
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0
