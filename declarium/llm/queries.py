@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declarium.llm.decontaminate import find_items
+from declarium.llm.mixing import mixed
 from declarium.llm.near_dedup import near_groups
 from declarium.llm.quality import quality_scores
 from declarium.llm.substring_dedup import remove_repeated
+from declarium.llm.token_counts import context_limits, length_histogram
 from declarium.llm.toxicity import toxicity_scores
+from declarium.llm.training_order import materialise
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +39,24 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken so that sources have tempered weights."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixed(docs, entropy=0.97, repetition=2.0).select(
+        F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "n_tokens", "weight", "epochs", "copies")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and truncated totals for every context limit."""
+    return context_limits(length_histogram(_read(spark, sf_dir, "documents")))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sequence lies in the shards, with a digest of its padded ids."""
+    rows, _ = materialise(_read(spark, sf_dir, "documents"))
+    return rows.select("slot", "shard", "doc_id", "seq_no", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,6 +71,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op7_token_ids": op7_token_ids,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op3_decontamination": op3_decontamination,
