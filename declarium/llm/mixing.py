@@ -32,11 +32,12 @@ def count_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def _statistics(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
-    """For each exponent: the normaliser, the entropy, and how often the most repeated source is read
-    while the least repeated one is read once."""
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(exponents)]))
-    scored = sources.where("share > 0").select("share", grid.alias("g")).select("share", "g.i", F.pow("share", F.col("g.a")).alias("w"), F.pow("share", F.col("g.a") - 1).alias("e"))
+def _statistics(sources: DataFrame, low: float, step: float, n: int) -> list[tuple[float, float, float]]:
+    """For each exponent ``low + step * i``, i from 1 to n: the normaliser, the entropy, and how often
+    the most repeated source is read while the least repeated one is read once."""
+    grid = sources.where("share > 0").select("share", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    exponent = F.lit(low) + F.lit(step) * F.col("i")
+    scored = grid.select("i", F.pow("share", exponent).alias("w"), F.pow("share", exponent - 1).alias("e"))
     sums = scored.groupBy("i").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("wl"), F.max("e").alias("most"), F.min("e").alias("least"))
     return [(r.z, math.log(r.z) - r.wl / r.z, r.most / r.least) for r in sums.orderBy("i").collect()]
 
@@ -45,11 +46,12 @@ def _bisect(sources: DataFrame, passes: int, fits) -> float:
     """The exponent in [0, 1] at which ``fits`` turns from false to true, as far as bisection goes."""
     low, high = 0.0, 1.0
     for _ in range(passes):
-        steps = 1 << HALVINGS
-        grid = [low + (high - low) * i / steps for i in range(1, steps)]
-        good = [fits(*s, a) for a, s in zip(grid, _statistics(sources, grid))]
-        first = good.index(True) if True in good else len(grid)
-        low, high = grid[first - 1] if first else low, grid[first] if first < len(grid) else high
+        n = (1 << HALVINGS) - 1
+        step = (high - low) / (n + 1)
+        grid = [low + step * i for i in range(1, n + 1)]
+        good = [fits(*s, a) for a, s in zip(grid, _statistics(sources, low, step, n))]
+        first = good.index(True) if True in good else n
+        low, high = grid[first - 1] if first else low, grid[first] if first < n else high
     return high
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declarium.llm.decontaminate import find_items
+from declarium.llm.embedding_dedup import link_vectors
 from declarium.llm.mixing import mixed
 from declarium.llm.near_dedup import near_groups
 from declarium.llm.quality import quality_scores
@@ -24,6 +25,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each embedding to others of its label, and its component."""
+    return link_vectors(_read(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of 10 words of the benchmark."""
     ids = F.array_sort(F.transform("hits.items", lambda i: i.cast("string")))
@@ -76,8 +82,25 @@ QUERIES = {
     "op7_token_ids": op7_token_ids,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND list_sum([x * x FOR x IN e]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT c.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM component c LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = c.vec_id
+""",
+}
