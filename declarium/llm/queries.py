@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from declarium.llm.decontaminate import find_items
 from declarium.llm.embedding_dedup import link_vectors
+from declarium.llm.license_scan import scan
 from declarium.llm.mixing import mixed
 from declarium.llm.near_dedup import near_groups
 from declarium.llm.quality import quality_scores
@@ -63,6 +64,13 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("slot", "shard", "doc_id", "seq_no", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of each document; its place is source, language and id, for want of paths."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    found = scan(docs.select("doc_id", "source", "lang", "text"), F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string")))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "path", "own_license", "own_score", "license", "inherited_from")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,6 +88,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_token_ids": op7_token_ids,
+    "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
