@@ -183,13 +183,15 @@ def _first_functions(functions: DataFrame, order: list[Column], n: int) -> DataF
     numbered = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     # After the limit this is one partition of at most ``n`` rows.
     first = functions.select(*FUNCTION_COLUMNS).orderBy(*order).limit(n)
-    return first.select(numbered.alias("seq"), F.struct(*FUNCTION_COLUMNS).alias("first"))
+    first = written(first.select(numbered.alias("seq"), F.struct(*FUNCTION_COLUMNS).alias("first")))
+    size = first.agg(F.coalesce(F.sum(F.octet_length(F.to_json("first"))), F.lit(0))).first()[0]
+    return _small(first, n <= FIRST_ROWS and size <= BROADCAST_BYTES)
 
 
 def _with_first(queries: DataFrame, first: DataFrame, n: int) -> DataFrame:
     """Every query with each of the first functions, by their number."""
     numbered = queries.withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return numbered.join(_small(first, n <= FIRST_ROWS), "seq")
+    return numbered.join(first, "seq")
 
 
 def _candidates(functions: DataFrame, queries: QuerySet, limit: int) -> DataFrame:
@@ -205,9 +207,7 @@ def _candidates(functions: DataFrame, queries: QuerySet, limit: int) -> DataFram
         asked = asked.join(cut, "qkey", "left")
     first = _first_functions(functions, order, limit)
     steps = F.when(F.col("match").isNull(), F.sequence(F.lit(1), F.lit(limit))).otherwise(F.array(F.lit(0)))
-    filled = asked.withColumn("seq", F.explode(steps)).join(
-        _small(first, limit <= FIRST_ROWS), "seq", "left"
-    )
+    filled = asked.withColumn("seq", F.explode(steps)).join(first, "seq", "left")
     return (
         filled.select("qkey", "qname", "qsig", F.coalesce("match", "first").alias("_f"))
         .where(F.col("_f").isNotNull())
@@ -234,8 +234,10 @@ def _by_id(hits: DataFrame, queries: QuerySet, *found: str) -> DataFrame:
 
 
 def candidates_batch(functions: DataFrame, queries: DataFrame, limit: int = 500) -> DataFrame:
-    """Candidates of every query, as the single search would rank them; ``limit`` is not negative."""
+    """Candidates of every query, as the single search would rank them; a negative ``limit`` means
+    all of them."""
     asked = _query_set(queries)
+    limit = limit if limit >= 0 else functions.count()
     return _by_id(_candidates(functions, asked, limit), asked)
 
 

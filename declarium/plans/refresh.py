@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import time
 from collections.abc import Callable
@@ -15,6 +16,7 @@ from declarium.operators.search import search
 from declarium.plans.shared import written
 from declarium.sources.index import SignatureIndex
 
+LOG = logging.getLogger(__name__)
 # Generations after which the present state is rewritten as one.
 COMPACT_AFTER = 50
 
@@ -34,7 +36,7 @@ def refresh(
     stopped or dies keeps what it committed, and the next one goes on with the rest. Files that
     vanished stay in the index unless ``prune`` is set.
     """
-    started = time.time()
+    started, observers = time.time(), [progress] if progress else []
     summary = dict.fromkeys(
         ["files_total", "files_queued", "files_done", "files_skipped", "files_indexed", "files_failed",
          "functions_total"], 0
@@ -47,7 +49,7 @@ def refresh(
     summary["files_total"] = sum(found.values())
     summary["files_skipped"] = summary["files_done"] = found.get(SKIPPED, 0)
     summary["files_queued"] = summary["files_total"] - summary["files_skipped"]
-    _report(progress, summary)
+    _publish(observers, summary)
 
     queue = changes.where(F.col("status") != SKIPPED)
     everything = summary["files_skipped"] == 0 and max_files_per_batch is None and known is None
@@ -64,7 +66,7 @@ def refresh(
         for name, count in counts.items():
             summary[name] += count
         summary["files_done"] += counts["files_indexed"] + counts["files_failed"]
-        _report(progress, summary)
+        _publish(observers, summary)
     if prune and not summary["canceled"]:
         gone = index.states().join(changes, "path", "left_anti").select("path")
         if not gone.isEmpty():
@@ -76,13 +78,13 @@ def refresh(
     return summary
 
 
-def _report(progress: Callable[[dict], None] | None, summary: dict) -> None:
-    if progress is None:
-        return
-    try:
-        progress(dict(summary))
-    except Exception:  # noqa: BLE001 - a failing observer must not stop the run
-        return
+def _publish(observers: list[Callable[[dict], None]], counts: dict) -> None:
+    """Hand the counts to whoever observes the run; what an observer raises is logged, the run goes on."""
+    for observer in observers:
+        try:
+            observer({**counts, "at": time.time()})
+        except Exception:  # noqa: BLE001
+            LOG.warning("an observer of the refresh failed", exc_info=True)
 
 
 def refresh_and_search(index: SignatureIndex, source, text: str, top: int = 20) -> DataFrame:

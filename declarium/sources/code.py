@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declarium.functions.language import SOURCE_SUFFIXES, is_source
+from declarium.plans.shared import written
 
 # Rows and bytes of a path list that may be broadcast.
 BROADCAST_PATHS = 1_000_000
@@ -100,7 +101,8 @@ def _escape_glob(path: str) -> str:
 
 
 class TableSource:
-    """A table with ``path, mtime, size, content``, one row per file."""
+    """A table with ``path, mtime, size, content``. Of several rows of one path the newest counts: the
+    latest time, then the greatest size, then any one content, always the same."""
 
     batch_files = None
 
@@ -113,14 +115,25 @@ class TableSource:
         )
 
     def listing(self) -> DataFrame:
-        return self.files.select("path", "mtime", "size")
+        newest = F.max(F.struct("mtime", "size"))
+        return self.files.groupBy("path").agg(newest.alias("f")).select("path", "f.*")
+
+    def _single(self, files: DataFrame) -> DataFrame:
+        """One row per path. Contents move only for paths that really repeat."""
+        version = F.struct("mtime", "size", F.xxhash64("content").alias("mark"))
+        several = files.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max(version).alias("newest")).where("n > 1")
+        several = written(several.select("path", "newest"))
+        if several.isEmpty():
+            return files
+        repeated = files.join(several, "path").where(version.eqNullSafe(F.col("newest"))).drop("newest")
+        return files.join(several, "path", "left_anti").unionByName(repeated.dropDuplicates(["path"]))
 
     def contents(self, queue: DataFrame, everything: bool) -> DataFrame:
         if everything:
-            return self.files
+            return self._single(self.files)
         paths = queue.select("path")
         extent = paths.agg(F.count("*").alias("n"), F.sum(F.octet_length("path")).alias("bytes")).first()
         if extent["n"] <= BROADCAST_PATHS and (extent["bytes"] or 0) <= BROADCAST_BYTES:
             # The content stays where it is.
             paths = F.broadcast(paths)
-        return self.files.join(paths, "path", "left_semi")
+        return self._single(self.files.join(paths, "path", "left_semi"))
