@@ -87,6 +87,28 @@ def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(table(spark, sf_dir, "part"), part.path, F.concat(part.code, ending), F.lit(1.0))
 
 
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose brackets of each kind are as deep as the key of the part says, up to 300."""
+    part = part_columns()
+    depth = (part.key % 300 + 1).cast("int")
+    text = F.concat(
+        F.lit("int deep_"), part.key_text, F.lit("(int a["), F.repeat(F.lit("("), depth), F.lit("1"), F.repeat(F.lit(")"), depth), F.lit("]) "),
+        F.repeat(F.lit("{"), depth), F.repeat(F.lit("}"), depth), F.lit(" long next_"), part.key_text, F.lit("("),
+        F.repeat(F.lit("A<"), depth), F.lit("int, char"), F.repeat(F.lit(">"), depth), F.lit(" x, short y);\n"),
+    )
+    return _files(table(spark, sf_dir, "part"), part.path, text, F.lit(1.0))
+
+
+def conditional_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with heads in two branches, dead prose, and branches in a parameter list."""
+    part = part_columns()
+    dead = F.concat(F.lit("#if 0\ndon't read { "), F.col("p_name"), F.lit("\nint dead(int a);\n#endif\n"))
+    head = F.concat(F.lit("#ifdef A\nint f_"), part.key_text, F.lit("(int a) {\n#else\nint f_"), part.key_text, F.lit("(long a) {\n#endif\n return 0; }\n"))
+    listed = F.concat(F.lit("void g_"), part.key_text, F.lit("(char c,\n#if B\n short b\n#elif C\n int b\n#else\n long b\n#endif\n);\n"))
+    lists = F.concat(F.lit("int a_"), part.key_text, F.lit("(int x), *b_"), part.key_text, F.lit("(char y);\n"))
+    return _files(table(spark, sf_dir, "part"), part.path, F.concat(pick(part.key, "", "\n\n"), dead, head, listed, lists), F.lit(1.0))
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per document: its whole text in a comment and again in a string literal."""
     doc = F.col("doc_id").cast("string")

@@ -205,6 +205,19 @@ ORACLE = {
           WHEN 3 THEN {error('unbalanced braces')} WHEN 4 THEN {error('unbalanced parentheses')}
           WHEN 5 THEN CASE WHEN path LIKE '%.c' THEN 'c: C++ construct in C source' END END AS last_error,
         CASE WHEN k % 6 = 0 OR (k % 6 = 5 AND path NOT LIKE '%.c') THEN 2 END AS functions FROM p""",
+    "extract_nested": f"""WITH {PARTS} SELECT path, 'deep_' || k AS name,
+          '[["int[' || repeat('(', CAST(k % 300 + 1 AS INTEGER)) || '1' || repeat(')', CAST(k % 300 + 1 AS INTEGER)) || ']","a"]]' AS params_json FROM p
+        UNION ALL SELECT path, 'next_' || k,
+          '[["' || repeat('A<', CAST(k % 300 + 1 AS INTEGER)) || 'int, char' || repeat('>', CAST(k % 300 + 1 AS INTEGER)) || '","x"],["short","y"]]' FROM p""",
+    "extract_conditional": f"""WITH {PARTS}, s AS (
+          SELECT path, CAST(k AS VARCHAR) AS k, CASE k % 2 WHEN 0 THEN 0 ELSE 2 END AS skip FROM p)
+        SELECT path, 'f_' || k AS name, 'int' AS return_type, '[["int","a"]]' AS params_json, CAST(skip + 6 AS INTEGER) AS line, 5 AS "column" FROM s
+        UNION ALL SELECT path, 'g_' || k, 'void', '[["char","c"],["short","b"]]', CAST(skip + 11 AS INTEGER), 6 FROM s
+        UNION ALL SELECT path, 'a_' || k, 'int', '[["int","x"]]', CAST(skip + 20 AS INTEGER), 5 FROM s
+        UNION ALL SELECT path, 'b_' || k, 'int *', '[["char","y"]]', CAST(skip + 20 AS INTEGER), CAST(17 + length(k) AS INTEGER) FROM s""",
+    "params_json_unicode": r"""SELECT doc_id, '[["struct P *","' || array_to_string([
+          CASE WHEN ord(c) > 127 THEN printf('\u%04x', ord(c)) WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN ord(c) = 10 THEN '\n'
+            WHEN ord(c) = 9 THEN '\t' WHEN ord(c) = 13 THEN '\r' ELSE c END FOR c IN string_split(text, '')], '') || '"]]' AS params_json FROM documents""".replace("\\\\", "\\"),
     "signature_norm": f"""SELECT p_partkey,
         {pick('p_size', *quoted('int ( ', 'std :: vector < int > ( ', 'void * ( '))}
           || {pick('p_partkey', "CASE WHEN p_partkey % 2 = 1 THEN '... ' ELSE '' END", "'int ' || CASE WHEN p_partkey % 2 = 1 THEN ', ... ' ELSE '' END", "'int , const char * ' || CASE WHEN p_partkey % 2 = 1 THEN ', ... ' ELSE '' END")}

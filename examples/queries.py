@@ -29,9 +29,11 @@ from declarium.streaming.jobs import stream_index, stream_search
 from examples.corpus import (
     code_files,
     code_functions,
+    conditional_files,
     damaged_files,
     document_files,
     later_files,
+    nested_files,
     part_columns,
     part_queries,
     pick,
@@ -72,6 +74,21 @@ def extract_errors(spark, sf_dir):
     )
 
 
+def extract_nested(spark, sf_dir):
+    found = explode_functions(extract_functions(nested_files(spark, sf_dir)), "path")
+    return found.select("path", "name", params_to_json(F.col("params")).alias("params_json"))
+
+
+def extract_conditional(spark, sf_dir):
+    found = explode_functions(extract_functions(conditional_files(spark, sf_dir)), "path")
+    return found.select("path", "name", "return_type", params_to_json(F.col("params")).alias("params_json"), "line", "column")
+
+
+def params_json_unicode(spark, sf_dir):
+    pair = F.struct(F.lit("struct P *").alias("type"), F.col("text").alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", params_to_json(F.array(pair)).alias("params_json"))
+
+
 def signature_norm(spark, sf_dir):
     part = part_columns()
     kinds = F.array(F.struct(F.lit("int").alias("type"), F.lit("a").alias("name")),
@@ -315,6 +332,8 @@ QUERIES = {
     "extract_positions": extract_positions,
     "extract_documents": extract_documents,
     "extract_errors": extract_errors,
+    "extract_nested": extract_nested,
+    "extract_conditional": extract_conditional,
     "signature_norm": signature_norm,
     "tokenise_documents": tokenise_documents,
     "tokenise_pages": tokenise_pages,
@@ -343,6 +362,7 @@ QUERIES = {
     "error_files": error_files,
     "functions_per_file": functions_per_file,
     "params_json": params_json,
+    "params_json_unicode": params_json_unicode,
     "format_hits": format_hits,
     "stream_index": stream_index_changes,
     "stream_search": stream_search_queries,
