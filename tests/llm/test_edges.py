@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from declarium.llm import decontaminate, embedding_dedup, license_scan, mixing, near_dedup, quality, substring_dedup, token_counts, toxicity, training_order
+from declarium.llm import components, decontaminate, embedding_dedup, license_scan, mixing, near_dedup, quality, substring_dedup, token_counts, toxicity, training_order
 from declarium.llm.tokens import Vocabulary
 from tests.llm import brute
 
@@ -223,3 +223,13 @@ def test_license_scan(spark, docs, empty):
         "/a/z.c": ("Apache-2.0", "Apache-2.0", None), "/q.c": (None, None, None), None: ("MIT", "MIT", None), "/a/w.c": (None, "MIT", "/a"),
     }
     assert license_scan.scan(docs, F.col("source")).count() == len(TEXTS) and license_scan.scan(empty, F.col("source")).count() == 0
+
+
+@pytest.mark.parametrize("most_sent", [0, 500_000])
+def test_components(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(components, "MOST_SENT", most_sent)
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(random.randrange(200, 300), random.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
+    got, _ = components.components(spark.createDataFrame(links, "a long, b long"))
+    want = brute.components({n for p in links for n in p}, links)
+    rows = {r.node: r.component for r in got.collect()}
+    assert rows == {n: want[n] for n in rows} and set(rows) >= {n for a, b in links if a != b for n in (a, b)}
