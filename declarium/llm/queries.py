@@ -36,14 +36,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_sort(F.transform("hits.items", lambda i: i.cast("string")))
     return find_items(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), 10).select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("hits.items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("hits.longest").alias("longest_match"))
+        F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a smaller document has, removed from all documents."""
     return remove_repeated(_read(spark, sf_dir, "documents"), 13).select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest")
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +95,66 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
 }
 
+#: Lower-case words of a text, as several of the operators read it.
+_WORDS = (
+    "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+)
+
 ORACLE: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+items AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM sized)),
+places AS (
+  SELECT doc_id, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)),
+hits AS (SELECT p.doc_id, p.k, p.n, items.item_id FROM places p JOIN items ON p.g = items.g AND p.n = items.n),
+words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, k, array_to_string(list_slice(w, k, k + 12), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+least_doc AS (SELECT g, min(doc_id) AS lo FROM windows GROUP BY g),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS i FROM windows JOIN least_doc USING (g) WHERE lo < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+  SELECT words.doc_id, count(*) FILTER (WHERE gone.i IS NOT NULL) AS n_removed,
+    string_agg(x, ' ' ORDER BY words.i) FILTER (WHERE gone.i IS NULL) AS kept
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY words.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op10_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+grams AS (
+  SELECT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+sets AS (SELECT doc_id, g, count(*) AS n FROM grams GROUP BY doc_id, g),
+idf AS (SELECT g, 1 + ln(1 / greatest(count(*) / (SELECT count(*) FROM documents), 0.1)) AS w FROM sets GROUP BY g),
+weighed AS (SELECT doc_id, g, n, w FROM sets JOIN idf USING (g)),
+totals AS (SELECT doc_id, sum(n * w) AS total FROM weighed GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n) * a.w) AS s FROM weighed a JOIN weighed b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN totals p ON p.doc_id = x JOIN totals q ON q.doc_id = y WHERE s >= 0.8 * (p.total + q.total - s) * (1 - 1e-12)),
+beside AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN beside l ON r.other = l.x)
+SELECT doc_id, min(other) AS class_id, min(other) = doc_id AS kept FROM reach GROUP BY doc_id
+""",
     "op2_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
