@@ -47,6 +47,11 @@ def query_signature(text: Column) -> Column:
     return F.nullif(drop_placeholder(normalise(declaration), "__q__"), F.lit(""))
 
 
+def query_status(queries: DataFrame) -> DataFrame:
+    """``query_id, error`` of each query of a batch; the error is null where it can be searched."""
+    return parse_queries(queries).select("query_id", "error")
+
+
 def parse_queries(queries: DataFrame) -> DataFrame:
     """``query_id, query_text`` to ``query_id, query_text, name, signature_norm, error``."""
     text = F.col("query_text")

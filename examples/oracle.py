@@ -284,6 +284,10 @@ ORACLE = {
         UNION ALL SELECT 2, n, 0, n, n, 0, 0, 0 FROM t""",
     "error_files": "SELECT count(*) FILTER (p_partkey % 7 = 1) AS error_files FROM part",
     "functions_per_file": f"{LIVE} SELECT path, count(*) AS functions FROM live GROUP BY path",
+    "query_status": "SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN 'query text is null' END AS error FROM part",
+    "index_prune": f"WITH {PARTS} SELECT path, name FROM f WHERE length(path) % 3 <> 0",
+    "index_duplicates": f"WITH {PARTS} SELECT path, name FROM f",
+    "refresh_and_search": ranked(candidates(one_query("red_widget", "size_t ( const char * , size_t )"), 400), "a", 20, True),
     "params_json": f"""WITH {PARTS} SELECT path, name, params_json,
         CAST(CASE WHEN length(name) % 5 = 0 THEN 0 ELSE n_par END AS INTEGER) AS n_params FROM f""",
     "format_hits": f"""WITH {PARTS} SELECT path || ':' || line || ':' || col AS location, params_text AS params,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from declarium.functions.language import is_cpp, language_candidates
-from declarium.functions.query import parse_queries, placeholder_declaration, query_signature_text
+from declarium.functions.query import parse_queries, placeholder_declaration, query_signature_text, query_status
 from declarium.functions.signature import (
     format_hit,
     format_params,
@@ -21,7 +21,7 @@ from declarium.operators.batch import candidates_batch, search_batch, search_exa
 from declarium.operators.changes import detect_changes
 from declarium.operators.extract import explode_functions, extract_functions
 from declarium.operators.search import fetch_candidates, search, search_interactive
-from declarium.plans.refresh import refresh
+from declarium.plans.refresh import refresh, refresh_and_search
 from declarium.plans.shared import fresh_folder, written
 from declarium.sources.code import TableSource
 from declarium.sources.index import SignatureIndex
@@ -289,6 +289,34 @@ def functions_per_file(spark, sf_dir):
     return _index(spark, sf_dir)[0].functions_per_file()
 
 
+def query_status_of_parts(spark, sf_dir):
+    key = part_columns().key
+    text = F.when(key % 3 != 0, F.concat(F.col("p_name"), F.lit(" :: int (int)")))
+    return query_status(table(spark, sf_dir, "part").select(key.alias("query_id"), text.alias("query_text")))
+
+
+def index_prune(spark, sf_dir):
+    index = SignatureIndex(spark, fresh_folder(spark))
+    files = code_files(spark, sf_dir)
+    refresh(index, TableSource(files))
+    refresh(index, TableSource(files.where(F.length("path") % 3 != 0)), prune=True)
+    return index.functions().select("path", "name")
+
+
+def index_duplicates(spark, sf_dir):
+    index = SignatureIndex(spark, fresh_folder(spark))
+    files = code_files(spark, sf_dir)
+    older = files.withColumn("mtime", F.lit(0.5)).withColumn("content", F.encode(F.lit("int old(int a);"), "UTF-8"))
+    refresh(index, TableSource(older.unionByName(files).unionByName(files)))
+    return index.functions().select("path", "name")
+
+
+def refreshed_search(spark, sf_dir):
+    index = SignatureIndex(spark, fresh_folder(spark))
+    hits = refresh_and_search(index, TableSource(code_files(spark, sf_dir)), "red_widget :: size_t (const char *, size_t)")
+    return hits.select("score", *hit())
+
+
 def params_json(spark, sf_dir):
     encoded = code_functions(spark, sf_dir).select("path", "name", params_to_json(F.col("params")).alias("params_json"))
     broken = F.when(F.length("name") % 5 == 0, F.lit("[[")).otherwise(F.col("params_json"))
@@ -361,6 +389,10 @@ QUERIES = {
     "index_summary": index_summary,
     "error_files": error_files,
     "functions_per_file": functions_per_file,
+    "query_status": query_status_of_parts,
+    "index_prune": index_prune,
+    "index_duplicates": index_duplicates,
+    "refresh_and_search": refreshed_search,
     "params_json": params_json,
     "params_json_unicode": params_json_unicode,
     "format_hits": format_hits,
