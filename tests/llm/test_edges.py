@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import math
 import random
 
 import numpy as np
@@ -233,3 +234,19 @@ def test_components(spark, monkeypatch, most_sent):
     want = brute.components({n for p in links for n in p}, links)
     rows = {r.node: r.component for r in got.collect()}
     assert rows == {n: want[n] for n in rows} and set(rows) >= {n for a, b in links if a != b for n in (a, b)}
+
+
+def test_near_dedup_misses_no_pair_of_crowded_buckets(spark):
+    # Each pair has a similarity of 89 / 111; with split=1 every bucket it shares is crowded.
+    draw, texts = random.Random(5), []
+    for i in range(2500):
+        w = [f"{draw.randrange(1 << 30):x}" for _ in range(115)]
+        texts += [(2 * i, " ".join(w[:104])), (2 * i + 1, " ".join(w[:93] + w[104:]))]
+    got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string"), split=1)
+    assert got.where("class_id <> row.doc_id - row.doc_id % 2").count() == 0
+
+
+@pytest.mark.parametrize("samples, matches", [(lambda: 24, lambda: near_dedup.LEAST_MATCHES), (lambda: near_dedup.LONG, lambda: near_dedup.LONG_MATCHES)])
+def test_near_dedup_sketches_pass_what_is_meant(samples, matches):
+    p = 0.8 + 0.2 / 256
+    assert sum(math.comb(samples(), k) * p**k * (1 - p) ** (samples() - k) for k in range(matches())) < 1e-6
