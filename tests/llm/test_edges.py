@@ -250,3 +250,26 @@ def test_near_dedup_misses_no_pair_of_crowded_buckets(spark):
 def test_near_dedup_sketches_pass_what_is_meant(samples, matches):
     p = 0.8 + 0.2 / 256
     assert sum(math.comb(samples(), k) * p**k * (1 - p) ** (samples() - k) for k in range(matches())) < 1e-6
+
+
+GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software '
+    "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+
+
+def test_license_headers_and_notices(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0\nint x;": "Apache-2.0", "# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0", "/* SPDX-License-Identifier: (LGPL-2.1+ OR MIT) */": "LGPL-2.1", "SPDX-License-Identifier: Zlib": "Zlib",
+        "Distributed under the MIT license, see LICENSE for details.": "MIT", "All of this is licensed under the GNU GPL v3.": "GPL-3.0",
+        " * it under the terms of the GNU General Public License as published by": "GPL", GRANT: "MIT",
+        "int a;\n// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n"
+        "// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\nint b;": "GPL-3.0",
+        "the library is free; you can use it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License": "LGPL-2.1",
+        "You need a licence to drive, and permission of the owner.": None, "no such words": None, "Copyright 2020 by nobody. All rights reserved.": None,
+    }
+    table = spark.createDataFrame([(f"/x{k}/f", t) for k, t in enumerate(texts)], "path string, text string")
+    got = {r.path: (r.own_license, r.own_score) for r in license_scan.scan(table, F.col("path")).collect()}
+    assert {t: got[f"/x{k}/f"][0] for k, t in enumerate(texts)} == texts
