@@ -7,7 +7,7 @@ cosine of sparse TF-IDF vectors, term counts times ``ln(1 + n / df)`` over the t
 template weighing most. Numbers and licence names of the template must be among these terms, names of its variants must not. A hit is a
 score at or above ``least``. The licence of an SPDX line is the file's own; without one it is that of the
 best hit: by the score to one decimal, then the longer template, then the score, then the name. A licence
-file (by its name, or because its longest hit covers most of its words) licenses its
+file (by its name, or because its hits cover most of its words, each word counted once) licenses its
 directory; a file without a licence of its own takes that of the nearest directory above it that has
 one, found by joining the distinct directories with their ancestors.
 
@@ -190,7 +190,8 @@ def scan(files: DataFrame, path: Column, least: float = 0.7, text_column: str =
                         F.when(meant, F.regexp_extract(text, SPDX, 1)).alias("identifier"))
     rows = rows.withColumn("hits", laid(F.col("terms"), least))
     best = F.array_min(F.transform("hits", lambda h: F.struct((-F.round(h.score, 1)).alias("r"), (-h.n).alias("n"), (-h.score).alias("s"), h["name"].alias("name"))))
-    covered = F.coalesce(F.array_max(F.transform("hits", lambda h: h.n)), F.lit(0))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h.n - 1)))))
+    covered = covered + F.aggregate("lines", F.lit(0), lambda a, x: a + F.size(terms_of(x)))
     rows = rows.withColumn("best", best).withColumn("own", F.when(F.size("lines") > 0, F.struct(_spdx_name(F.col("identifier")).alias("name"), F.lit(1.0).alias("score"))).otherwise(
         F.when(F.size("hits") > 0, F.struct(F.col("best.name").alias("name"), (-F.col("best.s")).alias("score")))))
     has = F.col("own").isNotNull()

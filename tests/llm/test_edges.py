@@ -273,3 +273,12 @@ def test_license_headers_and_notices(spark):
     table = spark.createDataFrame([(f"/x{k}/f", t) for k, t in enumerate(texts)], "path string, text string")
     got = {r.path: (r.own_license, r.own_score) for r in license_scan.scan(table, F.col("path")).collect()}
     assert {t: got[f"/x{k}/f"][0] for k, t in enumerate(texts)} == texts
+
+
+def test_license_file_of_several_units(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + GRANT + "\n\n" + (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.")
+    lines = "Released under the MIT License.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software.\n" + prose(6)
+    files = [("/a/17", mit), ("/a/b/18", "int x;"), ("/c/19", lines), ("/c/20", "int y;"), ("/d/21", "Released under the MIT License.\n" + prose(40)), ("/d/22", "int z;")]
+    got = {r.path: r.license for r in license_scan.scan(spark.createDataFrame(files, "path string, text string"), F.col("path")).collect()}
+    assert got == {"/a/17": "MIT", "/a/b/18": "MIT", "/c/19": "MIT", "/c/20": "MIT", "/d/21": "MIT", "/d/22": None}
