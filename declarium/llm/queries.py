@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from declarium.llm.embedding_dedup import link_vectors
 from declarium.llm.license_scan import scan
 from declarium.llm.mixing import mixed
 from declarium.llm.near_dedup import near_groups
+from declarium.llm.periodic_runs import periodic_runs
 from declarium.llm.quality import quality_scores
 from declarium.llm.substring_dedup import remove_repeated
 from declarium.llm.token_counts import context_limits, length_histogram
@@ -82,6 +87,45 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(docs).select(F.col("row.doc_id").alias("doc_id"), "class_id", "kept")
 
 
+def _with_blocks(docs: DataFrame) -> DataFrame:
+    """The documents; every tenth, by a checksum of its id, goes on from some word in a block that repeats."""
+
+    def repeated(number: int | None, text: str | None) -> str | None:
+        h = zlib.crc32(str(number).encode())
+        if number is None or h % 10 or not text or not text.encode().split():
+            return text
+        g, words = h // 10, text.encode().split()
+        n = len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        block = words[a : a + p]
+        return b" ".join(words[:a] + (block * -(-(n - a) // p))[: n - a]).decode()
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array(map(repeated, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(through, "doc_id long, text string")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each document and what is left when their repeats go."""
+    found = periodic_runs(_with_blocks(_read(spark, sf_dir, "documents")))
+    first = F.element_at("runs", 1)
+    # The greatest length / period, compared exactly; the runs are in order of start and period.
+    rest = F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0)))
+    most = F.when(F.size("runs") > 0, F.aggregate(rest, first, lambda x, r: F.when(r["length"] * x["period"] > x["length"] * r["period"], r).otherwise(x)))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    best = found.select("row", "n_words", F.size("runs").cast("long").alias("n_runs"), most.alias("most"),
+                        digest(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n"))))).alias("runs_sha256"),
+                        digest(F.col("kept")).alias("collapsed_sha256"))
+    return best.select(
+        F.col("row.doc_id").alias("doc_id"), "n_runs", F.col("most.start").alias("start"), F.col("most.length").alias("length"), F.col("most.period").alias("period"),
+        F.expr("1000 * most.length div most.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op5_mixing": op5_mixing,
@@ -93,6 +137,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: Lower-case words of a text, as several of the operators read it.

@@ -91,3 +91,48 @@ def near_classes(docs, similarity=0.8, floor=0.1):
             if shared and shared >= similarity * (sum(x.values()) + sum(y.values()) - shared) * (1 - 1e-12):
                 links.append((a, b))
     return components({n for n, _ in weighed}, links)
+
+
+def runs(words, least_words=24, least_exponent=3):
+    """Start, length and period of every run, by start and period; every lag and place is tried."""
+    out, n = set(), len(words)
+    for q in range(1, n // least_exponent + 1):
+        at = 0
+        while at + q < n:
+            if words[at] != words[at + q]:
+                at += 1
+                continue
+            end = at
+            while end + q < n and words[end] == words[end + q]:
+                end += 1
+            start, length, at = at, end + q - at, end
+            stretch = words[start : start + length]
+            smaller = any(stretch[p:] == stretch[:-p] for p in range(1, q))
+            if length >= max(least_words, least_exponent * q) and not smaller:
+                out.add((start, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, found):
+    gone = {i for start, length, q in found for i in range(start + q, start + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def with_block(number, text):
+    """The words of a document as the query on periodic runs changes them."""
+    words = TOKEN.findall(text or "")
+    h = zlib.crc32(str(number).encode())
+    g, n = h // 10, len(words)
+    if number is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def runs_row(number, words):
+    found = runs(words)
+    best = max(found, key=lambda r: (r[1] / r[2], -r[0], -r[2]), default=(None, None, None))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (number, len(found), *best, 1000 * best[1] // best[2] if found else None,
+            sha("".join("%d,%d,%d\n" % r for r in found)), sha(collapsed(words, found)))
