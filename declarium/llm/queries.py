@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from declarium.llm.collocations import collocations
 from declarium.llm.decontaminate import find_items
 from declarium.llm.embedding_dedup import link_vectors
 from declarium.llm.license_scan import scan
@@ -126,6 +127,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * most.length div most.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language that stand together more often than their parts let expect."""
+    return collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op5_mixing": op5_mixing,
@@ -138,6 +144,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 #: Lower-case words of a text, as several of the operators read it.
@@ -147,6 +154,35 @@ _WORDS = (
 )
 
 ORACLE: dict[str, str] = {
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, unnest(w) AS g FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) >= 2
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w WHERE len(w) >= 3),
+f AS (SELECT lang, size, g, count(*) AS c FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, g, c AS a, string_split(g, ' ') AS p FROM f WHERE size >= 2 AND c >= 10),
+cuts AS (
+  SELECT lang, size, g, a, 1 AS k, p[1] AS x, array_to_string(p[2:], ' ') AS y FROM candidates
+  UNION ALL SELECT lang, size, g, a, 2, p[1] || ' ' || p[2], p[3] FROM candidates WHERE size = 3),
+scored AS (
+  SELECT cuts.lang, cuts.size, cuts.g, a, k, l.c AS l, r.c AS r, ((1000000::HUGEINT * a * a) // (l.c::HUGEINT * r.c))::BIGINT AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = x JOIN f r ON r.lang = cuts.lang AND r.g = y),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, h, max(a) AS longest
+  FROM (SELECT lang, a, unnest([p[1] || ' ' || p[2], p[2] || ' ' || p[3]]) AS h FROM candidates WHERE size = 3) GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND h = g
+  WHERE longest IS NULL OR 100 * longest < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
     "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),

@@ -136,3 +136,30 @@ def runs_row(number, words):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     return (number, len(found), *best, 1000 * best[1] // best[2] if found else None,
             sha("".join("%d,%d,%d\n" % r for r in found)), sha(collapsed(words, found)))
+
+
+def collocations(docs, least=10, share=50, most=2000):
+    """Rows by language and rank, from all phrases of one to three words."""
+    f, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    found = {g: a for g, a in f.items() if len(g) > 2 and a >= least}
+    rows = []
+    for g, a in found.items():
+        lang, *w = g
+        if any(100 * b >= share * a for h, b in found.items() if len(h) > len(g) and h[0] == lang and w in (list(h[1:3]), list(h[2:4]))):
+            continue
+        cuts = [(10**6 * a * a // (f[(lang, *w[:k])] * f[(lang, *w[k:])]), k, f[(lang, *w[:k])], f[(lang, *w[k:])]) for k in range(1, len(w))]
+        score, _, left, right = min(cuts)
+        rows.append((lang, " ".join(w), a, left, right, n[lang], score))
+    rows.sort(key=lambda r: (r[0], -r[6], -r[2], r[1].encode()))
+    out, rank = [], Counter()
+    for r in rows:
+        rank[r[0]] += 1
+        if rank[r[0]] <= most:
+            out.append((r[0], rank[r[0]], *r[1:]))
+    return out
