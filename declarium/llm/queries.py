@@ -15,6 +15,7 @@ from declarium.llm.embedding_dedup import link_vectors
 from declarium.llm.license_scan import scan
 from declarium.llm.mixing import mixed
 from declarium.llm.near_dedup import near_groups
+from declarium.llm.packing import pack
 from declarium.llm.periodic_runs import periodic_runs
 from declarium.llm.quality import quality_scores
 from declarium.llm.substring_dedup import remove_repeated
@@ -88,6 +89,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(docs).select(F.col("row.doc_id").alias("doc_id"), "class_id", "kept")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each piece of each document in sequences of 1,024 tokens."""
+    import public_tokenizers
+
+    pieces, _ = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def _with_blocks(docs: DataFrame) -> DataFrame:
     """The documents; every tenth, by a checksum of its id, goes on from some word in a block that repeats."""
 
@@ -143,6 +152,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_collocations": op13_collocations,
 }

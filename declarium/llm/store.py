@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from declarium.plans.shared import fresh_folder
@@ -34,3 +36,10 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> str:
 
 def drop(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def sent(spark: SparkSession, value):
+    """A function that gives ``value`` in the tasks. It travels as bytes with the classes it needs, so workers
+    without this package can read it."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)

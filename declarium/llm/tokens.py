@@ -8,6 +8,7 @@ and a piece that was met before costs one look-up.
 from __future__ import annotations
 
 import base64
+import json
 import sys
 import types
 from collections.abc import Iterator
@@ -87,6 +88,28 @@ class Vocabulary:
         return ids, total[np.searchsorted(start, edges)]
 
 
+class JsonVocabulary(Vocabulary):
+    """A byte-level vocabulary of the ``tokenizers`` library, as a JSON file. Strings of special tokens in a text
+    are these tokens, as the library has it."""
+
+    def __init__(self, path: str, end: int):
+        self.data = Path(path).read_bytes()
+        listed = json.loads(self.data)
+        self.size = 1 + max([*listed["model"]["vocab"].values(), *(t["id"] for t in listed["added_tokens"])])
+        self.end = end
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+
+    def encoder(self):
+        from tokenizers import Tokenizer
+
+        known = _of_worker("encoders")
+        key = hash(self.data)
+        if key not in known:
+            own = Tokenizer.from_str(self.data.decode())
+            known[key] = types.SimpleNamespace(encode_ordinary=lambda text: own.encode(text, add_special_tokens=False).ids)
+        return known[key]
+
+
 def with_lengths(docs: DataFrame, path: str = VOCABULARY, text_column: str = "text") -> DataFrame:
     """One row ``length`` per row of ``docs``: ids of its text, 0 for null."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
