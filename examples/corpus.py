@@ -109,6 +109,30 @@ def conditional_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(table(spark, sf_dir, "part"), part.path, F.concat(pick(part.key, "", "\n\n"), dead, head, listed, lists), F.lit(1.0))
 
 
+def directive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a head behind many conditional groups: up to 40, and 10,000 in every 500th file."""
+    part = part_columns()
+    groups = F.when(part.key % 500 == 0, F.lit(10_000)).otherwise((part.key % 41).cast("int"))
+    text = F.concat(F.repeat(F.lit("#if 0\n{ '\n#endif\n"), groups), F.lit("int f_"), part.key_text, F.lit("(int a);\n"))
+    return _files(table(spark, sf_dir, "part"), part.path, text, F.lit(1.0))
+
+
+def declarator_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with heads behind initialised variables and types defined in place, old-style and scoped ones,
+    variables that look like heads, and some that no form fits."""
+    part = part_columns()
+    k = part.key_text
+    every = F.concat(
+        F.lit("int n = 1, *init_"), k, F.lit("(char c), z[2] = { 1, 2 };\nAPI(int) lost_"), k, F.lit("(int a);\nstruct P_"), k,
+        F.lit(" { int x; struct { int y; } q; } make_"), k, F.lit("(struct P_"), k, F.lit(" *p, int a) { return *p; }\n"))
+    old = F.concat(F.lit("long old_"), k, F.lit("(a, s, cb) int a; char *s; int (*cb)();\n{ }\n"))
+    scoped = F.concat(
+        F.lit("namespace ns { int in_"), k, F.lit("(int a); }\nlong ns::out_"), k, F.lit("(short b) { }\nint Other::lost_"), k,
+        F.lit("(int c) { }\nstd::string var_"), k, F.lit("(n); std::string fun_"), k, F.lit("(size_t);\n"))
+    own = F.when(part.size % 3 == 0, old).when(part.size % 3 == 1, scoped).otherwise(F.lit(""))
+    return _files(table(spark, sf_dir, "part"), part.path, F.concat(every, own), F.lit(1.0))
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per document: its whole text in a comment and again in a string literal."""
     doc = F.col("doc_id").cast("string")

@@ -215,6 +215,18 @@ ORACLE = {
         UNION ALL SELECT path, 'g_' || k, 'void', '[["char","c"],["short","b"]]', CAST(skip + 11 AS INTEGER), 6 FROM s
         UNION ALL SELECT path, 'a_' || k, 'int', '[["int","x"]]', CAST(skip + 20 AS INTEGER), 5 FROM s
         UNION ALL SELECT path, 'b_' || k, 'int *', '[["char","y"]]', CAST(skip + 20 AS INTEGER), CAST(17 + length(k) AS INTEGER) FROM s""",
+    "extract_directives": f"""WITH {PARTS} SELECT path, 'f_' || k AS name,
+          CAST(1 + 3 * CASE WHEN k % 500 = 0 THEN 10000 ELSE k % 41 END AS INTEGER) AS line, 5 AS "column" FROM p""",
+    "extract_declarators": f"""WITH {PARTS}, s AS (
+          SELECT path, CAST(k AS VARCHAR) AS k, length(CAST(k AS VARCHAR)) AS n, sz % 3 AS kind, CASE sz % 3 WHEN 1 THEN 2 ELSE 1 END AS unparsed FROM p),
+        r AS (
+          SELECT *, 'init_' || k AS name, 'int *' AS return_type, '[["char","c"]]' AS params_json, 1 AS line, 13 AS col FROM s
+          UNION ALL SELECT *, 'make_' || k, 'struct P_' || k, '[["struct P_' || k || ' *","p"],["int","a"]]', 3, length('struct P_ {{ int x; struct {{ int y; }} q; }} ') + n + 1 FROM s
+          UNION ALL SELECT *, 'old_' || k, 'long', '[["int","a"],["char *","s"],["int (*)()","cb"]]', 4, 6 FROM s WHERE kind = 0
+          UNION ALL SELECT *, 'in_' || k, 'int', '[["int","a"]]', 4, 20 FROM s WHERE kind = 1
+          UNION ALL SELECT *, 'out_' || k, 'long', '[["short","b"]]', 5, 10 FROM s WHERE kind = 1
+          UNION ALL SELECT *, 'fun_' || k, 'std::string', '[["size_t",null]]', 7, length('std::string var_(n); std::string ') + n + 1 FROM s WHERE kind = 1)
+        SELECT path, name, return_type, params_json, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS "column", unparsed FROM r""",
     "params_json_unicode": r"""SELECT doc_id, '[["struct P *","' || array_to_string([
           CASE WHEN ord(c) > 127 THEN printf('\u%04x', ord(c)) WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN ord(c) = 10 THEN '\n'
             WHEN ord(c) = 9 THEN '\t' WHEN ord(c) = 13 THEN '\r' ELSE c END FOR c IN string_split(text, '')], '') || '"]]' AS params_json FROM documents""".replace("\\\\", "\\"),

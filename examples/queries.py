@@ -31,6 +31,8 @@ from examples.corpus import (
     code_functions,
     conditional_files,
     damaged_files,
+    declarator_files,
+    directive_files,
     document_files,
     later_files,
     nested_files,
@@ -84,6 +86,16 @@ def extract_conditional(spark, sf_dir):
     return found.select("path", "name", "return_type", params_to_json(F.col("params")).alias("params_json"), "line", "column")
 
 
+def extract_directives(spark, sf_dir):
+    found = explode_functions(extract_functions(directive_files(spark, sf_dir)), "path")
+    return found.select("path", "name", "line", "column")
+
+
+def extract_declarators(spark, sf_dir):
+    found = explode_functions(extract_functions(declarator_files(spark, sf_dir)), "path", "unparsed")
+    return found.select("path", "name", "return_type", params_to_json(F.col("params")).alias("params_json"), "line", "column", "unparsed")
+
+
 def params_json_unicode(spark, sf_dir):
     pair = F.struct(F.lit("struct P *").alias("type"), F.col("text").alias("name"))
     return table(spark, sf_dir, "documents").select("doc_id", params_to_json(F.array(pair)).alias("params_json"))
@@ -362,6 +374,8 @@ QUERIES = {
     "extract_errors": extract_errors,
     "extract_nested": extract_nested,
     "extract_conditional": extract_conditional,
+    "extract_directives": extract_directives,
+    "extract_declarators": extract_declarators,
     "signature_norm": signature_norm,
     "tokenise_documents": tokenise_documents,
     "tokenise_pages": tokenise_pages,
