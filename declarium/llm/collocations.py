@@ -36,14 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declarium.llm import store
-from declarium.llm.transducers import BITS, LAYERS, Phrases, build, counted, looked_up, packed, paths, united, unpacked
+from declarium.llm.transducers import BITS, LAYERS, Phrases, build, counted, keys, looked_up, packed, paths, united, unpacked
 from declarium.llm.words import hashes, long_of, mix, pieces, texts_of, words_of
 from declarium.operators.top import top_per_group
 
 #: Text of a shard, words counted at once, and text of a range, in bytes and words.
-SHARD_BYTES = 6 << 20
-SHARD_WORDS = 1_000_000
-RANGE_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+SHARD_WORDS = 700_000
+RANGE_BYTES = 4 << 20
 MOST_RANGES = 1 << 16
 #: Text and phrases of the sample from which the bounds of ranges come.
 SAMPLE_BYTES = 4 << 20
@@ -66,7 +66,7 @@ class _Shard:
     """Sorted phrases of some text with their counts, and their words."""
 
     def __init__(self, symbols: np.ndarray, words: list[tuple[str, bytes]], phrases: Phrases):
-        self.symbols, self.words, self.phrases = symbols, words, phrases
+        self.symbols, self.words, self.phrases, self.keys = symbols, words, phrases, keys(phrases.words)
 
     def place(self, bound: tuple[int, int, int]) -> int:
         """Phrases before ``bound``, three hashes."""
@@ -75,14 +75,7 @@ class _Shard:
             at = int(np.searchsorted(self.symbols, np.uint64(b))) if exact and b else -1
             key = key << BITS | (at + 1)
             exact = exact and 0 <= at < len(self.symbols) and int(self.symbols[at]) == b
-        return int(np.searchsorted(self.keys(), np.uint64(key)))
-
-    def keys(self) -> np.ndarray:
-        if not hasattr(self, "_keys"):
-            self._keys = np.zeros(len(self.phrases.count), np.uint64)
-            for w in self.phrases.words:
-                self._keys = self._keys << np.uint64(BITS) | w.astype(np.uint64)
-        return self._keys
+        return int(np.searchsorted(self.keys, np.uint64(key)))
 
     def hashed(self, at: slice | np.ndarray) -> list[np.ndarray]:
         """The phrases as hashes, 0 where they have ended."""
@@ -214,7 +207,7 @@ def count_phrases(docs: DataFrame, least: int, text_column: str = "text", lang_c
                 spelled = (w["lang"], w["word"])
                 if known.setdefault(w["symbol"], spelled) != spelled:
                     raise ValueError(f"two words of one hash: {spelled} and {known[w['symbol']]}")
-        symbols, phrases = united([unpacked(b) for b in table.column("transducer").to_pylist()])
+        symbols, phrases = united(table.column("transducer").to_pylist())
         single = phrases.words[1] == 0
         totals: dict[str, int] = {}
         named = long_of(symbols)[phrases.words[0][single] - 1].tolist()

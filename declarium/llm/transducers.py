@@ -49,33 +49,48 @@ class Transducer(NamedTuple):
     layers: list[Layer]
 
 
-def counted(words: list[np.ndarray], count: np.ndarray | None, n_symbols: int) -> Phrases:
+def keys(words: list[np.ndarray]) -> np.ndarray:
+    """Phrases as one number each, in the same order; for symbols up to ``MOST_PACKED``."""
+    key = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        key <<= np.uint64(BITS)
+        key |= w.astype(np.uint64)
+    return key
+
+
+def _summed(new: np.ndarray, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where a new phrase begins, and the sum of its counts."""
+    at = np.flatnonzero(new)
+    if count is None:
+        return at, np.diff(np.append(at, len(new)))
+    return at, np.add.reduceat(count, at) if len(at) else np.zeros(0, np.int64)
+
+
+def counted_keys(key: np.ndarray, count: np.ndarray | None) -> Phrases:
     """Equal phrases once, sorted, with the sum of their counts (how often they are listed without any)."""
-    if n_symbols <= MOST_PACKED:
-        key = np.zeros(len(words[0]), np.uint64)
-        for w in words:
-            key = (key << np.uint64(BITS)) | w.astype(np.uint64)
-        if count is None:
-            key.sort()
-        else:
-            order = np.argsort(key)
-            key, count = key[order], count[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(new)
-        low = np.uint64((1 << BITS) - 1)
-        found = [(key[at] >> np.uint64(BITS * (LAYERS - 1 - k)) & low).astype(np.int64) for k in range(LAYERS)]
-    else:
-        order = np.lexsort(words[::-1])
-        words = [w[order] for w in words]
-        count = None if count is None else count[order]
-        new = np.ones(len(order), bool)
-        new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
-        at = np.flatnonzero(new)
-        found = [w[at].astype(np.int64) for w in words]
     if count is None:
-        return Phrases(found, np.diff(np.append(at, len(new))))
-    return Phrases(found, np.add.reduceat(count, at) if len(at) else np.zeros(0, np.int64))
+        key.sort()
+    else:
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        del order
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at, count = _summed(new, count)
+    key, low = key[at], np.uint64((1 << BITS) - 1)
+    return Phrases([(key >> np.uint64(BITS * (LAYERS - 1 - k)) & low).astype(np.int32) for k in range(LAYERS)], count)
+
+
+def counted(words: list[np.ndarray], count: np.ndarray | None, n_symbols: int) -> Phrases:
+    """The same of phrases as their words."""
+    if n_symbols <= MOST_PACKED:
+        return counted_keys(keys(words), count)
+    order = np.lexsort(words[::-1])
+    words = [w[order] for w in words]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
+    at, count = _summed(new, None if count is None else count[order])
+    return Phrases([w[at] for w in words], count)
 
 
 def _shared(first: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -151,17 +166,22 @@ def paths(t: Transducer) -> Phrases:
     return Phrases([np.concatenate(w) for w in words], np.concatenate(counts))
 
 
-def united(parts: list[Transducer]) -> tuple[np.ndarray, Phrases]:
-    """The union of transducers with the sums of their weights, as symbols and sorted phrases."""
-    symbols = np.unique(np.concatenate([p.symbols for p in parts])) if parts else np.zeros(0, np.uint64)
-    listed = []
+def united(parts: list[bytes]) -> tuple[np.ndarray, Phrases]:
+    """The union of packed transducers with the sums of their weights, as symbols and sorted phrases."""
+    symbols = np.unique(np.concatenate([np.zeros(0, np.uint64), *(next(_arrays(p)) for p in parts)]))
+    small, found, counts = len(symbols) <= MOST_PACKED, [], []
     for p in parts:
-        own = paths(p)
-        number = np.concatenate([[0], np.searchsorted(symbols, p.symbols) + 1])
-        listed.append(([number[w] for w in own.words], own.count))
-    words = [np.concatenate([w[k] for w, _ in listed]) if listed else np.zeros(0, np.int64) for k in range(LAYERS)]
-    count = np.concatenate([c for _, c in listed]) if listed else np.zeros(0, np.int64)
-    return symbols, counted(words, count, len(symbols))
+        t = unpacked(p)
+        own = paths(t)
+        number = np.concatenate([[0], np.searchsorted(symbols, t.symbols) + 1])
+        words = [number[w] for w in own.words]
+        found.append([keys(words)] if small else words)
+        counts.append(own.count)
+    none = np.zeros(0, np.uint64 if small else np.int64)
+    columns = [np.concatenate([none, *x]) for x in (zip(*found) if found else [()] * (1 if small else LAYERS))]
+    count = np.concatenate([np.zeros(0, np.int64), *counts])
+    del found, counts
+    return symbols, counted_keys(columns[0], count) if small else counted(columns, count, len(symbols))
 
 
 def looked_up(t: Transducer, phrases: list[np.ndarray]) -> np.ndarray:
@@ -197,14 +217,18 @@ def packed(t: Transducer) -> bytes:
     return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> Transducer:
+def _arrays(data: bytes):
+    """The symbols, then the arrays of each layer."""
     size, n = struct.unpack("<Q", data[:8])[0], 1 + LAYERS * 4
     raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
     head, at = struct.unpack(f"<{2 * n}I", raw[: 8 * n]), 8 * n
-    arrays = []
     for width, length in zip(head[::2], head[1::2]):
-        a = np.frombuffer(raw, f"<u{width}", length, at)
+        yield np.frombuffer(raw, f"<u{width}", length, at)
         at += width * length
-        arrays.append(a.astype(np.int64) if arrays else a)
-    layers = [Layer(np.concatenate([[0], np.cumsum(arrays[k])]), *arrays[k + 1 : k + 4]) for k in range(1, n, 4)]
-    return Transducer(arrays[0], layers)
+
+
+def unpacked(data: bytes) -> Transducer:
+    symbols, *rest = _arrays(data)
+    rest = [a.astype(np.int64) for a in rest]
+    layers = [Layer(np.concatenate([[0], np.cumsum(rest[k])]), *rest[k + 1 : k + 4]) for k in range(0, len(rest), 4)]
+    return Transducer(symbols, layers)

@@ -33,7 +33,7 @@ def weights(symbols, phrases):
 @given(st.lists(PHRASES, max_size=4), PHRASES)
 def test_union_and_composition(shards, asked):
     blobs = [transducers.packed(transducer(s)) for s in shards]
-    symbols, found = transducers.united([transducers.unpacked(b) for b in blobs])
+    symbols, found = transducers.united(blobs)
     want = Counter(tuple(p) for s in shards for p in s)
     assert weights(symbols, found) == want
     t = transducers.unpacked(transducers.packed(transducers.build(symbols, found)))
