@@ -41,14 +41,15 @@ from declarium.llm import store
 from declarium.llm.tokens import JsonVocabulary
 from declarium.llm.words import pieces
 
-#: Turns of pricing of the first solution and of those for what is left, and how many of these there may be.
-TURNS, TURNS_LEFT, ROUNDS = 120, 30, 6
+#: Turns of pricing of the first solution, for large problems and for small ones; the share of them for what is
+#: left, and how often that is solved.
+TURNS, MOST_TURNS, LEFT, ROUNDS = 200, 2000, 0.3, 6
 #: A turn covers at most this share of a length; a configuration may be this far from the best of its turn.
-STEP, SLACK = 0.02, 0.01
+STEP, SLACK = 0.01, 0.01
 #: How fast the price of a length falls with the share of its pieces that is covered.
 RATE = 5.0
 #: Rows of a table of tasks and lengths that may be sent to all tasks.
-MOST_SENT = 300_000
+MOST_SENT = 200_000
 
 
 class Packing(NamedTuple):
@@ -92,11 +93,12 @@ def _traced(chosen: np.ndarray, lengths: np.ndarray, room: int, first: int) -> t
 
 
 def _fractional(lengths: np.ndarray, count: np.ndarray, capacity: int, turns: int) -> tuple[dict[tuple, float], float]:
-    """Multiplicative weights: configurations (by numbers of lengths) with their values, and a lower bound."""
+    """Multiplicative weights: configurations (by numbers of lengths) with their values, and a lower bound. The
+    values are those of the later half of the turns, when prices have settled."""
     values: dict[tuple, float] = {}
     covered = np.zeros(len(lengths))
     area, bound = lengths / capacity, 0.0
-    for _ in range(turns):
+    for number in range(turns):
         price = area * np.exp(-RATE * (covered - covered.min()))
         best, chosen = _knapsack(lengths, price, capacity)
         bound = max(bound, float((count * price).sum() / best[capacity]))
@@ -115,11 +117,12 @@ def _fractional(lengths: np.ndarray, count: np.ndarray, capacity: int, turns: in
         share = count / np.maximum(used, count)
         for c, amount in turn.items():
             amount *= STEP * min(share[i] for i, _ in c)
-            values[c] = values.get(c, 0.0) + amount
+            if number >= turns // 2:
+                values[c] = values.get(c, 0.0) + amount
             for i, a in c:
                 covered[i] += a * amount / count[i]
-    # What is covered more than the rest on average says nothing: as much text as there is.
-    total = (covered * count * lengths).sum()
+    # As much text as there is.
+    total = sum(v * sum(a * lengths[i] for i, a in c) for c, v in values.items())
     scale = (count * lengths).sum() / total if total else 0.0
     return {c: v * scale for c, v in values.items()}, bound
 
@@ -199,7 +202,9 @@ def solve(histogram: dict[int, int], capacity: int) -> Packing:
         some = np.flatnonzero(left)
         if len(some) < 2 or (lengths * left).sum() < 4 * len(some) * capacity:
             break
-        values, proven = _fractional(lengths[some], left[some].astype(float), capacity, TURNS_LEFT if turn else TURNS)
+        # A turn looks at every capacity and traces a configuration for every length.
+        turns = min(MOST_TURNS, max(TURNS, 400_000 // (capacity + 4 * len(some))))
+        values, proven = _fractional(lengths[some], left[some].astype(float), capacity, int(turns * LEFT) if turn else turns)
         if not turn:
             bound = max(bound, int(np.ceil(proven * (1 - 1e-9))))
         before = left.sum()
@@ -237,7 +242,7 @@ def cut_documents(docs: DataFrame, vocabulary: JsonVocabulary, capacity: int, id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, part = sent(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in pieces(batches, most=2 << 20):
+        for batch in pieces(batches):
             ids, at = v.encode(batch.column("text"))
             n = np.diff(at) + 1
             marked = np.insert(ids, at[1:], v.end).astype("<u4")

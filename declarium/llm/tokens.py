@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,6 +27,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_CACHED = 400_000
+#: Text whose characters no version of Unicode puts in another class.
+SETTLED = re.compile("[\x00-\x7f\xa1-\u052f]*")
 
 #: Bytes a visible character may begin with: not white space, and no byte that begins a wide space.
 _VISIBLE = np.ones(256, bool)
@@ -56,6 +60,11 @@ class Vocabulary:
             known[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return known[key]
 
+    def piece_encoder(self, raw: bytes):
+        """A function from the bytes of a piece of ``raw`` to those of its ids."""
+        encode, kind = self.encoder().encode_ordinary, self.kind
+        return lambda piece: np.array(encode(piece.decode()), kind).tobytes()
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and where each text's ids begin."""
         texts = texts_of(column)
@@ -72,12 +81,13 @@ class Vocabulary:
         cache = _of_worker(f"pieces-{hash(self.data)}")
         if len(cache) + len(values) > MOST_CACHED:
             cache.clear()
-        encode, raw = self.encoder().encode_ordinary, data.tobytes()
+        raw = data.tobytes()
+        encode = self.piece_encoder(raw)
         own = []
         for v, at in zip(values.tolist(), first.tolist()):
             ids = cache.get(v)
             if ids is None:
-                ids = cache[v] = np.array(encode(raw[start[at] : end[at]].decode()), self.kind).tobytes()
+                ids = cache[v] = encode(raw[start[at] : end[at]])
             own.append(ids)
         flat = np.frombuffer(b"".join(own), self.kind)
         sizes = np.array([len(x) for x in own], np.int64) // np.dtype(self.kind).itemsize
@@ -90,24 +100,57 @@ class Vocabulary:
 
 class JsonVocabulary(Vocabulary):
     """A byte-level vocabulary of the ``tokenizers`` library, as a JSON file. Strings of special tokens in a text
-    are these tokens, as the library has it."""
+    are these tokens, as the library has it.
+
+    If a token's id is the rank of its merge, the vocabulary is a table of ranks as well. Pieces of Latin, Greek and
+    Cyrillic letters in a batch without special tokens are then encoded from that, which is faster; the ids are the
+    same."""
 
     def __init__(self, path: str, end: int):
         self.data = Path(path).read_bytes()
         listed = json.loads(self.data)
-        self.size = 1 + max([*listed["model"]["vocab"].values(), *(t["id"] for t in listed["added_tokens"])])
+        vocab, merges = listed["model"]["vocab"], listed["model"]["merges"]
+        self.special = [t["content"].encode() for t in listed["added_tokens"]]
+        self.size = 1 + max([*vocab.values(), *(t["id"] for t in listed["added_tokens"])])
         self.end = end
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        plain = listed["normalizer"] is None and listed["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.ranked = plain and len(vocab) == 256 + len(pairs) and all(vocab.get("".join(p)) == 256 + k for k, p in enumerate(pairs))
+
+    def _known(self, kind: str, build):
+        known, key = _of_worker("encoders"), (kind, hash(self.data))
+        if key not in known:
+            known[key] = build()
+        return known[key]
+
+    def _ranks(self):
+        import tiktoken
+
+        # Fixed value: the library writes a byte as the character of its code, or, where that is no visible one,
+        # as the next free character from code 256 on.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        vocab = json.loads(self.data)["model"]["vocab"]
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
 
     def encoder(self):
         from tokenizers import Tokenizer
 
-        known = _of_worker("encoders")
-        key = hash(self.data)
-        if key not in known:
-            own = Tokenizer.from_str(self.data.decode())
-            known[key] = types.SimpleNamespace(encode_ordinary=lambda text: own.encode(text, add_special_tokens=False).ids)
-        return known[key]
+        own = self._known("whole", lambda: Tokenizer.from_str(self.data.decode()))
+        return types.SimpleNamespace(encode_ordinary=lambda text: own.encode(text, add_special_tokens=False).ids)
+
+    def piece_encoder(self, raw: bytes):
+        letter, whole = "H" if self.kind == np.uint16 else "I", self.encoder().encode_ordinary
+        if not self.ranked or any(s in raw for s in self.special):
+            return lambda piece: array(letter, whole(piece.decode())).tobytes()
+        ranks = self._known("ranks", self._ranks).encode_ordinary
+
+        def encode(piece: bytes) -> bytes:
+            text = piece.decode()
+            return array(letter, (ranks if SETTLED.fullmatch(text) else whole)(text)).tobytes()
+
+        return encode
 
 
 def with_lengths(docs: DataFrame, path: str = VOCABULARY, text_column: str = "text") -> DataFrame:
