@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +42,25 @@ UNBOUNDED = 1 << 30
 DISTANCES_PER_TASK = 20_000_000
 MOST_TASKS = 50_000
 
+# Letters of a gram in the search by distance, and the distances it looks within, one after another.
+GRAM = 3
+RADII = [3, 9]
+# One of so many groups of functions tells how far a query has to look at most.
+SAMPLED = 8
+# Pairs of texts up to which distances are taken of all that lengths allow; beyond, texts share a gram first.
+DENSE = 100_000_000
+
 NAME, SIGNATURE = "n", "s"
 
 
+class Extent(NamedTuple):
+    """How many distinct texts and parts of queries there are, and bytes of the parts."""
+
+    texts: int
+    parts: int
+    bytes: int
+
+
 @dataclass
 class QuerySet:
     """Parsed queries: ``keyed`` maps ids to distinct queries, ``distinct`` holds each one once."""
@@ -293,31 +310,14 @@ def search_exact_batch(
 ) -> DataFrame:
     """Nearest functions of every query, over all functions.
 
-    Distances are computed once per distinct pair of name and signature, and only where the
-    difference in length leaves room: a first pass over likely functions gives each query a
-    distance that ``top`` functions are known to keep, and nothing farther is looked at.
+    Distances are taken once per distinct name and once per distinct signature, and only within a radius in
+    which ``top`` functions are known to lie: one that an eighth of the functions show, and before that, where there
+    are very many texts, small ones, within which texts must share a rare gram at nearly the same place.
     """
     asked = _query_set(queries)
     return _by_id(_exact(functions, asked, max(0, top), max_distance), asked, "rank", "score")
 
 
-def _reach(functions: DataFrame, asked: QuerySet, top: int) -> DataFrame:
-    """Per query, a distance within which at least ``top`` functions lie (if there are as many)."""
-    n = default_candidate_limit(top)
-    first = _scored(_unpack(_with_first(asked.distinct, _first_functions(functions, candidate_order(), n), n)))
-    position = F.row_number().over(Window.partitionBy("qkey").orderBy("score"))
-    bounds = [first]
-    matched = _matches(functions, asked)
-    if matched is not None:
-        cut = top_per_group(matched, ["qkey"], candidate_order(), n)
-        bounds.append(_scored(cut.join(_small(asked.distinct, asked.fits(2)), "qkey")))
-    reached = None
-    for rows in bounds:
-        bound = rows.withColumn("_p", position).where(F.col("_p") == max(1, top)).select("qkey", "score")
-        reached = bound if reached is None else reached.unionByName(bound)
-    return reached.groupBy("qkey").agg(F.min("score").alias("reach"))
-
-
 def _tasks(functions: DataFrame, distances: int) -> int:
     cores = functions.sparkSession.sparkContext.defaultParallelism
     return max(cores, min(MOST_TASKS, distances // DISTANCES_PER_TASK))
@@ -327,65 +327,157 @@ def _unpack(rows: DataFrame) -> DataFrame:
     return rows.select("qkey", "qname", "qsig", "first.*")
 
 
+def _near_by_length(texts: DataFrame, most: int, parts: DataFrame, extent: Extent) -> DataFrame:
+    """Pairs whose lengths leave room for the radius, in as many tasks as the distances ask for."""
+    length, radius = F.length("part"), F.col("radius")
+    low = F.floor(F.greatest(F.lit(0), length - radius) / BAND)
+    high = F.floor(F.least(F.lit(most), length + radius) / BAND)
+    bands = parts.where(low <= high).withColumn("band", F.explode(F.sequence(low, high).cast("array<bigint>")))
+    tasks = _tasks(texts, extent.texts * extent.parts)
+    placed = texts.repartition(tasks).withColumn("band", F.floor(F.length("text") / BAND))
+    copies = most // BAND + 1
+    return _equi_join(placed, bands, ["band"], _fits(extent.parts * copies, extent.bytes * copies), ["text"]).drop("band")
+
+
+def _positional_grams(rows: DataFrame, column: str, place: str) -> DataFrame:
+    """One row per gram of a text with stand-ins for two letters before and behind it, and its place."""
+    padded = F.concat(F.lit("\x01" * (GRAM - 1)), F.col(column), F.lit("\x02" * (GRAM - 1)))
+    return rows.select(column, F.posexplode(_grams(padded, GRAM)).alias(place, "gram"))
+
+
+def _near_by_grams(texts: DataFrame, parts: DataFrame, extent: Extent, radius: int) -> DataFrame:
+    """Pairs that share a gram at nearly the same place.
+
+    An edit changes at most ``GRAM`` grams and moves others by one place. So of ``GRAM * radius + 1`` grams of a
+    part one is left unchanged in every text within the radius, at most ``radius`` places away; the
+    rarest are taken. Parts need as many grams.
+    """
+    held = _positional_grams(texts, "text", "at")
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("part").orderBy("n", "gram", "place")
+    # Grams no text has are the rarest of all and count without being looked for.
+    present = _positional_grams(parts, "part", "place").join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    chosen = present.withColumn("_r", F.row_number().over(rarest)).where((F.col("_r") <= GRAM * radius + 1) & (F.col("n") > 0))
+    chosen = written(chosen.select("part", "gram", "place"))
+    size = GRAM * radius + 1
+    pairs = _equi_join(held, chosen, ["gram"], _fits(extent.parts * size, extent.bytes * size), ["text"])
+    return pairs.where(F.abs(F.col("at") - F.col("place")) <= radius).select("text", "part").distinct()
+
+
+def _near(texts: DataFrame, most: int, parts: DataFrame, extent: Extent, radius: int | None) -> DataFrame:
+    """``part, text, distance`` of all distinct texts within the ``radius`` of each of the distinct parts; it is
+    given besides if it is the same for all and small, and there are very many texts."""
+    if radius is not None:
+        enough = F.length("part") + GRAM - 1 >= GRAM * radius + 1
+        pairs = _near_by_grams(texts, parts.where(enough), extent, radius).withColumn("radius", F.lit(radius))
+        pairs = pairs.unionByName(_near_by_length(texts, most, parts.where(~enough), extent))
+    else:
+        pairs = _near_by_length(texts, most, parts, extent)
+    pairs = pairs.where(F.abs(F.length("text") - F.length("part")) <= F.col("radius"))
+    distance = F.expr("CASE WHEN text = part THEN 0 ELSE levenshtein(text, part, radius) END")
+    # As a filter on a column the distance would be taken once for each condition on it.
+    return pairs.select("part", "text", F.explode(F.filter(F.array(distance), lambda d: d >= 0)).alias("distance"))
+
+
+def _within(
+    groups: DataFrame, sides: dict[str, tuple[DataFrame, int, int]], asked: DataFrame, fits: bool, radius: int | None = None
+) -> DataFrame:
+    """``qid, bn, bs, copies, score`` of every group of functions within the ``radius`` of a query: distances are
+    taken once per distinct name and once per distinct signature."""
+
+    def near(side: str, rows: DataFrame, part: str, column: str) -> DataFrame | None:
+        texts, count, most = sides[side]
+        parts = written(rows.groupBy(F.col(part).alias("part")).agg(F.max("radius").alias("radius")))
+        size = parts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("part")), F.lit(0)).alias("bytes")).first()
+        if not size["n"]:
+            return None
+        found = _near(texts, most, parts, Extent(count, size["n"], size["bytes"]), radius)
+        return found.select(F.col("part").alias(part), F.col("text").alias(column), F.col("distance").alias(f"d{column}"))
+
+    out = ["qid", "bn", "bs", "copies", "score"]
+    only_name, only_signature = asked.where(F.col("qs").isNull()), asked.where(F.col("qn").isNull())
+    both, found = asked.where(F.col("qn").isNotNull() & F.col("qs").isNotNull()), []
+    signatures = near(SIGNATURE, asked.where(F.col("qs").isNotNull()), "qs", "bs")
+    if signatures is not None:
+        # What the nearest signature takes is not left for the name.
+        signatures = written(signatures)
+        extent = signatures.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("qs") + F.octet_length("bs")), F.lit(0)).alias("bytes")).first()
+        signatures = _small(signatures, _fits(extent["n"], extent["bytes"]))
+        least = signatures.groupBy("qs").agg(F.min("dbs").alias("least"))
+        both = both.join(_small(least, fits), "qs").where(F.col("least") <= F.col("radius"))
+        by_signature = signatures.join(_small(only_signature, fits), "qs").join(groups, "bs").withColumn("score", F.col("dbs"))
+        found.append(by_signature.where(F.col("score") <= F.col("radius")).select(*out))
+    names = near(NAME, only_name, "qn", "bn")
+    if names is not None:
+        by_name = names.join(_small(only_name, fits), "qn").where(F.col("dbn") <= F.col("radius")).join(groups, "bn")
+        found.append(by_name.withColumn("score", F.col("dbn")).select(*out))
+    left = both.withColumn("radius", F.col("radius") - F.col("least")) if signatures is not None else both.limit(0)
+    names = near(NAME, left, "qn", "bn")
+    if names is not None:
+        room = names.join(_small(left, fits), "qn").where(F.col("dbn") <= F.col("radius"))
+        scored = room.join(groups, "bn").join(signatures, ["qs", "bs"]).where(F.col("dbn") + F.col("dbs") <= F.col("radius") + F.col("least"))
+        found.append(scored.withColumn("score", F.col("dbn") + F.col("dbs")).select(*out))
+    if not found:
+        return groups.limit(0).select(F.lit(0).cast("bigint").alias("qid"), "bn", "bs", "copies", F.lit(0).alias("score"))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _reach(rows: DataFrame, wanted: int) -> DataFrame:
+    """``qid, reach``: the distance within which a query has ``wanted`` functions, for those that have as many."""
+    counted = rows.groupBy("qid", "score").agg(F.sum("copies").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("qid").orderBy("score"))
+    return counted.withColumn("n", so_far).where(F.col("n") >= wanted).groupBy("qid").agg(F.min("score").alias("reach"))
+
+
 def _exact(functions: DataFrame, asked: QuerySet, top: int, max_distance: int | None) -> DataFrame:
-    blank = F.col("qname").isNull() & F.col("qsig").isNull()
-    order = hit_order()[1:]
+    order, wanted = hit_order()[1:], max(1, top)
     # Copies of one name and signature have one distance: keep the first ``top`` of each.
     forms = functions.select(
         *FUNCTION_COLUMNS, byte_form(F.col("name")).alias("bn"), byte_form(F.col("signature_norm")).alias("bs")
     )
-    heads = written(top_per_group(forms, ["bn", "bs"], order, max(1, top), rank="copy"))
-    groups = heads.where(F.col("copy") == 1)
-    longest = heads.agg(
-        F.max(F.length("bn")).alias(NAME), F.max(F.length("bs")).alias(SIGNATURE), F.count_if(F.col("copy") == 1).alias("groups")
-    ).first()
-    if max_distance is None:
-        reach = asked.distinct.join(_reach(functions, asked, top), "qkey", "left")
-        reach = reach.withColumn("reach", F.coalesce("reach", F.lit(UNBOUNDED)))
+    heads = written(top_per_group(forms, ["bn", "bs"], order, wanted, rank="copy"))
+    first = F.min_by(F.struct("name", "path", "line", "column", "signature_norm"), "copy")
+    groups = written(heads.groupBy("bn", "bs").agg(F.max("copy").alias("copies"), first.alias("f")).select("bn", "bs", "copies", "f.*"))
+    extent = groups.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("bn") + F.octet_length("bs")), F.lit(0)).alias("bytes")).first()
+    narrow = _small(groups.select("bn", "bs", "copies"), _fits(extent["n"], extent["bytes"]))
+    sides = {}
+    for side, column in ((NAME, "bn"), (SIGNATURE, "bs")):
+        texts = written(groups.select(F.col(column).alias("text")).distinct())
+        size = texts.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("most")).first()
+        sides[side] = (texts, size["n"], size["most"])
+    blank = F.col("qname").isNull() & F.col("qsig").isNull()
+    # Numbered, as rows of many pairs carry the number.
+    numbered = asked.distinct.where(~blank).select(
+        F.monotonically_increasing_id().alias("qid"), "qkey", byte_form(F.col("qname")).alias("qn"), byte_form(F.col("qsig")).alias("qs"))
+    keys = written(numbered)
+    open_, best, near = keys.drop("qkey"), [], []
+    if max_distance is not None:
+        near.append(_within(narrow, sides, open_.withColumn("radius", F.lit(max_distance)), asked.fits()))
     else:
-        reach = asked.distinct.withColumn("reach", F.lit(max_distance))
-    side = F.when(F.col("qsig").isNotNull(), F.lit(SIGNATURE)).otherwise(F.lit(NAME))
-    limits = reach.where(~blank).select(
-        "qkey",
-        "reach",
-        side.alias("side"),
-        byte_form(F.col("qname")).alias("qn"),
-        byte_form(F.col("qsig")).alias("qs"),
-    )
-    length = F.length(F.when(F.col("side") == SIGNATURE, F.col("qs")).otherwise(F.col("qn")))
-    most = F.when(F.col("side") == SIGNATURE, F.lit(longest[SIGNATURE] or 0)).otherwise(F.lit(longest[NAME] or 0))
-    low = F.floor(F.greatest(F.lit(0), length - F.col("reach")) / BAND)
-    high = F.floor(F.least(most, length + F.col("reach")) / BAND)
-    bands = written(
-        limits.where(low <= high).withColumn("band", F.explode(F.sequence(low, high).cast("array<bigint>")))
-    )
-    lengths = F.array(
-        F.struct(F.lit(NAME).alias("side"), F.floor(F.length("bn") / BAND).alias("band")),
-        F.struct(F.lit(SIGNATURE).alias("side"), F.floor(F.length("bs") / BAND).alias("band")),
-    )
-    keys = ["bn", "bs", "name", "path", "line", "column", "signature_norm"]
-    # The table is small beside the distances taken from it: slice it by those, not by its bytes.
-    tasks = _tasks(functions, longest["groups"] * asked.count)
-    placed = groups.select(*keys).repartition(tasks).select(*keys, F.explode(lengths).alias("_l")).select(*keys, "_l.*")
-    gap = F.coalesce(F.abs(F.length("bs") - F.length("qs")), F.lit(0)) + F.coalesce(
-        F.abs(F.length("bn") - F.length("qn")), F.lit(0)
-    )
-    extent = bands.agg(F.count("*").alias("rows"), F.sum(F.octet_length("qkey") * 2).alias("bytes")).first()
-    fits = _fits(extent["rows"], extent["bytes"] or 0)
-    near = _equi_join(placed, bands, ["side", "band"], fits, ["bn", "bs"]).where(gap <= F.col("reach"))
-    near = near.withColumn("_ds", F.expr("CASE WHEN qs IS NULL OR bs = qs THEN 0 ELSE levenshtein(bs, qs, reach) END"))
-    near = near.where(F.col("_ds") >= 0).withColumn(
-        "_dn", F.expr("CASE WHEN qn IS NULL OR bn = qn THEN 0 ELSE levenshtein(bn, qn, reach - _ds) END")
-    )
-    near = near.where(F.col("_dn") >= 0).withColumn("score", F.col("_ds") + F.col("_dn"))
-    # The first ``top`` functions lie in the first ``top`` groups by their first function.
-    best = top_per_group(near, ["qkey"], hit_order(), max(1, top)).select("qkey", "score", "bn", "bs")
+        if max(sides[NAME][1], sides[SIGNATURE][1]) * asked.count > DENSE:
+            # Most have near functions among very many: who has enough of them looks no further.
+            for radius in RADII:
+                rows = _within(narrow, sides, open_.withColumn("radius", F.lit(radius)), asked.fits(), radius)
+                reach = written(_reach(rows, wanted))
+                near.append(rows.join(_small(reach, asked.fits()), "qid").where(F.col("score") <= F.col("reach")).drop("reach"))
+                open_ = written(open_.join(_small(reach, asked.fits()), "qid", "left_anti"))
+        some = groups.select("bn", "bs", "copies").where(F.pmod(F.xxhash64("bn", "bs"), F.lit(SAMPLED)) == 0)
+        few = {side: (some.select(F.col(column).alias("text")).distinct(), sides[side][1] // SAMPLED, sides[side][2]) for side, column in ((NAME, "bn"), (SIGNATURE, "bs"))}
+        some = _small(some, _fits(extent["n"], extent["bytes"]))
+        reach = written(_reach(_within(some, few, open_.withColumn("radius", F.lit(UNBOUNDED)), asked.fits()), wanted))
+        bounded = open_.join(_small(reach, asked.fits()), "qid", "left").withColumn("radius", F.coalesce("reach", F.lit(UNBOUNDED)))
+        near.append(_within(narrow, sides, written(bounded.drop("reach")), asked.fits()))
+    for rows in near:
+        # The first ``top`` functions lie in the first ``top`` groups by their first function.
+        first_groups = top_per_group(rows.join(groups.drop("copies"), ["bn", "bs"]), ["qid"], hit_order(), wanted)
+        best.append(first_groups.select("qid", "score", "bn", "bs").join(keys.select("qid", "qkey"), "qid").drop("qid"))
     # Rows that hold a function's own text, whose size no query tells: left to the size Spark measures.
-    found = heads.join(best, ["bn", "bs"])
-    none = F.lit(0)
-    first = _unpack(_with_first(asked.distinct.where(blank), _first_functions(functions, order, top), top)) if top else None
-    hits = found.select("qkey", "score", *FUNCTION_COLUMNS)
-    if first is not None:
-        hits = hits.unionByName(first.select("qkey", none.alias("score"), *FUNCTION_COLUMNS))
+    hits = [heads.join(b, ["bn", "bs"]).select("qkey", "score", *FUNCTION_COLUMNS) for b in best]
+    if top:
+        first_rows = _unpack(_with_first(asked.distinct.where(blank), _first_functions(functions, order, top), top))
+        hits.append(first_rows.select("qkey", F.lit(0).alias("score"), *FUNCTION_COLUMNS))
+    if not hits:
+        hits = [functions.limit(0).select(F.lit("").alias("qkey"), F.lit(0).alias("score"), *FUNCTION_COLUMNS)]
     ranked = Window.partitionBy("qkey").orderBy(*hit_order())
-    return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
+    every = reduce(lambda a, b: a.unionByName(b), hits)
+    return every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)

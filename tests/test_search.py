@@ -139,6 +139,15 @@ def test_exact_batch(functions, rows, queries, parts, monkeypatch, bound):
         assert keys(found.get(number, [])) == keys(model.rank(rows, name, signature, 7)), QUERIES[number]
 
 
+def test_exact_batch_by_grams(functions, rows, queries, parts, monkeypatch):
+    # As if there were too many texts to take all distances that lengths allow.
+    monkeypatch.setattr(batch, "DENSE", 0)
+    monkeypatch.setattr(batch, "RADII", [1, 2, 3])
+    found = by_query(search_exact_batch(functions, queries, top=7))
+    for number, (name, signature) in parts.items():
+        assert keys(found.get(number, [])) == keys(model.rank(rows, name, signature, 7)), QUERIES[number]
+
+
 def test_exact_batch_within(functions, rows, queries, parts):
     found = by_query(search_exact_batch(functions, queries, top=7, max_distance=5))
     for number, (name, signature) in parts.items():
