@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from declarium.llm import store
 from declarium.llm.words import hashes, pieces, texts_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -155,11 +156,12 @@ class JsonVocabulary(Vocabulary):
 
 def with_lengths(docs: DataFrame, path: str = VOCABULARY, text_column: str = "text") -> DataFrame:
     """One row ``length`` per row of ``docs``: ids of its text, 0 for null."""
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    sent = store.sent(docs.sparkSession, Vocabulary(path))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent()
         for batch in pieces(batches, most=2 << 20):
-            _, at = sent.value.encode(batch.column("text"))
+            _, at = vocabulary.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(at))], ["length"])
 
     return docs.select(F.col(text_column).alias("text")).mapInArrow(measured, "length long")

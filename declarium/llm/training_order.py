@@ -54,10 +54,10 @@ def feistel(ranks: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarr
 def sequences(docs: DataFrame, vocabulary: Vocabulary, sequence: int) -> DataFrame:
     """``part`` and ``place`` (the task and the row within it), ``doc_id``, ``seq_no``, ``n_tokens``,
     ``tokens`` (ids as little-endian bytes)."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = store.sent(docs.sparkSession, vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sent.value
+        v = sent()
         width, part, done = np.dtype(v.kind).itemsize, TaskContext.get().partitionId(), 0
         for batch in pieces(batches, most=2 << 20):
             ids, at = v.encode(batch.column("text"))
