@@ -119,13 +119,17 @@ class TableSource:
         return self.files.groupBy("path").agg(newest.alias("f")).select("path", "f.*")
 
     def _single(self, files: DataFrame) -> DataFrame:
-        """One row per path. Contents move only for paths that really repeat."""
-        version = F.struct("mtime", "size", F.xxhash64("content").alias("mark"))
+        """One row per path. Repeats are found without the contents, which are hashed and moved only for
+        paths that really repeat."""
+        version = F.struct("mtime", "size")
         several = files.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max(version).alias("newest")).where("n > 1")
         several = written(several.select("path", "newest"))
         if several.isEmpty():
             return files
         repeated = files.join(several, "path").where(version.eqNullSafe(F.col("newest"))).drop("newest")
+        mark = F.xxhash64("content")
+        marks = repeated.groupBy("path").agg(F.max(mark).alias("mark"))
+        repeated = repeated.join(marks, "path").where(mark == F.col("mark")).drop("mark")
         return files.join(several, "path", "left_anti").unionByName(repeated.dropDuplicates(["path"]))
 
     def contents(self, queue: DataFrame, everything: bool) -> DataFrame:
