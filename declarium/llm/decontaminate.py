@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from declarium.llm import store
 from declarium.llm.words import Words, lower_alnum, pieces, texts_of, words_of
 
 #: Bytes of item text in one automaton: about 100 MB of automaton at the most.
@@ -241,7 +242,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, text_column:
     row = out.schema["row"].dataType.simpleString()
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        sent = spark.sparkContext.broadcast(Items([i.item_id for i in own], [i.text for i in own], window))
+        sent = store.sent(spark, Items([i.item_id for i in own], [i.text for i in own], window))
         last = cut is not None and k == blocks - 1
 
         def through(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
@@ -250,7 +251,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, text_column:
                 texts = texts_of(batch.column("text"))
                 words = words_of(texts, table)
                 before = batch.column("hits").to_pylist() if "hits" in batch.schema.names else None
-                hits = _hits(sent.value, words, before)
+                hits = _hits(sent(), words, before)
                 columns = [batch.column("row"), batch.column("text"), pa.array(words.counts().astype(np.int64)), pa.array(hits, _HITS)]
                 names = ["row", "text", "n_words", "hits"]
                 if last:
@@ -267,10 +268,12 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, text_column:
     return out.select("row", "n_words", hit.alias("n_hit"), "hits", *["clean"] * (cut is not None))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, least_words: int = 10, most_coverage: float = 0.5) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, least_words: int = 2, most_coverage: float = 0.5) -> DataFrame:
     """The rows of ``docs`` without contaminated text: spans of ``least_words`` or more words that
     windows of the items cover are cut out, and a row goes if more than ``most_coverage`` of its words
-    are hit. ``n_chars``, where it exists, follows the text."""
+    are hit. An item of fewer than ``window`` words is cut where it occurs whole; an item of one word
+    (fewer than ``least_words``) stays, or a common word would be lost from every text. ``n_chars``,
+    where it exists, follows the text."""
     found = find_items(docs, items, window, cut=least_words)
     cut = F.col("clean").isNotNull()
     columns = {"text": F.when(cut, F.col("clean")).otherwise(F.col("row.text"))}

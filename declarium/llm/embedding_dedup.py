@@ -103,7 +103,7 @@ def _meeting(sent, d: int, cosine: float):
     """The work on one chunk and slice of a box: links of its vectors, and whom they are joined with."""
 
     def linked(table: pa.Table) -> pa.Table:
-        boxes, block, first = sent.value, table.column("block")[0].as_py(), table.column("slice")[0].as_py() == 0
+        boxes, block, first = sent(), table.column("block")[0].as_py(), table.column("slice")[0].as_py() == 0
         home = table.column("home").to_numpy()
         u = _units(table.column("v").combine_chunks(), d)
         x, node, n = boxes.turned(u), table.column("node").to_numpy(), table.column("n").to_numpy()
@@ -158,10 +158,10 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, width: int = 8, id_co
     for size in sizes.collect():  # a row for each dimension that occurs
         d, own = size.d, nodes.where(F.col("d") == size.d)
         sample = own.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow().column("v")
-        sent = spark.sparkContext.broadcast(Boxes(_units(sample.combine_chunks(), d), width, -(-size.n // HOMES), 2 - 2 * cosine))
+        sent = store.sent(spark, Boxes(_units(sample.combine_chunks(), d), width, -(-size.n // HOMES), 2 - 2 * cosine))
 
         def placed(batches: Iterator[pa.RecordBatch], d=d, sent=sent) -> Iterator[pa.RecordBatch]:
-            boxes = sent.value
+            boxes = sent()
             for whole in batches:
                 for lo in range(0, whole.num_rows, 1000):
                     batch = whole.slice(lo, 1000)

@@ -164,12 +164,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", s
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], ["doc_id", "x"])
 
     measured, _ = store.parked(texts.mapInArrow(measure, "doc_id long, x array<double>"))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(measured, labels, label, shrink, ridge))
+    sent = store.sent(docs.sparkSession, fit(measured, labels, label, shrink, ridge))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(x)), batch.column("x")], ["doc_id", "score", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent().score(x)), batch.column("x")], ["doc_id", "score", "x"])
 
     scored = measured.mapInArrow(score, "doc_id long, score double, x array<double>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "x")

@@ -40,6 +40,12 @@ def drop(spark: SparkSession, name: str) -> None:
 
 def sent(spark: SparkSession, value):
     """A function that gives ``value`` in the tasks. It travels as bytes with the classes it needs, so workers
-    without this package can read it."""
-    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(data.value)
+    without this package can read it, and is made from them once a task."""
+    data, made = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def value_of():
+        if not made:
+            made.append(pickle.loads(data.value))
+        return made[0]
+
+    return value_of

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from declarium.llm import store
 from declarium.llm.quality import held_out
 from declarium.llm.words import hashes, long_of, lower_alnum, mix, pieces, texts_of, words_of
 
@@ -178,31 +179,12 @@ def _mined(sample: DataFrame, most_terms: int, least: float) -> np.ndarray:
                 new[1:] = h[1:] != h[:-1]
                 at = np.flatnonzero(new)
                 df, toxic = np.diff(np.append(at, len(h))), np.add.reduceat(bad, at)
-                some = toxic > 0
-                yield pa.RecordBatch.from_arrays([pa.array(long_of(h[at[some]])), pa.array(toxic[some].astype(np.int64)), pa.array(df[some])], ["term", "toxic", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array(long_of(h[at])), pa.array(toxic.astype(np.int64)), pa.array(df)], ["term", "toxic", "df"])
 
     counts = sample.mapInArrow(counted, "term long, toxic long, df long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("df").alias("df"))
-    # Terms without a toxic document in a batch are not sent from it, so their documents are counted
-    # again, over the whole sample, for the terms that remain.
-    best = counts.where(F.col("toxic") >= 4).where(F.col("toxic") - F.sqrt("toxic") >= least * F.col("df"))
-    best = best.orderBy(F.desc("toxic"), "term").limit(20 * most_terms).collect()
-    terms = np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
-    if not len(terms):
-        return terms
-    sent = sample.sparkSession.sparkContext.broadcast(terms)
-
-    def recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(sent.value)), np.int64)
-        for batch in pieces(batches, most=1 << 20):
-            y = batch.column("y").to_numpy()
-            fires = _votes(batch.column("text"), sent.value) > 0
-            total[0] += fires[y == 0].sum(0)
-            total[1] += fires[y == 1].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(long_of(sent.value)), pa.array(total[0]), pa.array(total[1])], ["term", "clean", "toxic"])
-
-    exact = sample.mapInArrow(recounted, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rate = (F.col("toxic") - F.sqrt("toxic")) / (F.col("toxic") + F.col("clean"))
-    chosen = exact.where((F.col("toxic") >= 4) & (rate >= least)).orderBy(F.desc("toxic"), "clean", "term").limit(most_terms).collect()
+    # The sample is bounded, so all its terms are counted exactly, however it is partitioned.
+    rate = (F.col("toxic") - F.sqrt("toxic")) / F.col("df")
+    chosen = counts.where((F.col("toxic") >= 4) & (rate >= least)).orderBy(F.desc("toxic"), "df", "term").limit(most_terms).collect()
     return np.array([r.term for r in chosen], np.int64).view(np.uint64)
 
 
@@ -238,12 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """Per row of ``docs``: ``row`` (its columns as a struct), ``held_out``, ``score``, ``predicted``."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+    sent = store.sent(docs.sparkSession, train(docs, labels, **options))
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sent.value.score(batch.column("text")))], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sent().score(batch.column("text")))], ["row", "score"])
 
     scored = rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double")
     return scored.select("row", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

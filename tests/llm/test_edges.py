@@ -78,6 +78,16 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_items(docs, table.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_short_items_are_cut_whole(spark):
+    texts = [(1, "One two THREE four, five six. " + "clean words follow here " * 3), (2, "two three"), (3, "two three? no: three four stays, one word"), (4, None), (5, ""),
+             (6, "a b c d e f g h i and many other words that no item has, then a b c d e f g h once more in part")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two three"), (2, "a b c d e f g h i"), (3, "word"), (4, "")], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminated(docs, items).collect()}
+    assert got == {1: "One four, five six. " + "clean words follow here " * 3, 3: "? no: three four stays, one word", 4: None, 5: "",
+                   6: "and many other words that no item has, then a b c d e f g h once more in part"}
+
+
 def test_decontamination_in_several_blocks(spark, docs, monkeypatch):
     items = [(k, t) for k, (_, t) in enumerate(TEXTS) if k in (0, 6, 9, 10)]
     table = spark.createDataFrame(items, "item_id long, text string")

@@ -24,7 +24,7 @@ SCRIPT = """
 """
 
 
-@pytest.mark.parametrize("names", [["op6_token_counts", "op7_token_ids", "op11_best_fit_packing", "op12_periodic_runs", "op13_collocations"]])
+@pytest.mark.parametrize("names", [["op1_quality", "op2_embedding_near_dedup", "op3_decontamination", "op9_toxicity"], ["op6_token_counts", "op7_token_ids", "op11_best_fit_packing", "op12_periodic_runs", "op13_collocations"]])
 def test_queries_without_the_package_in_the_workers(tmp_path, names):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     (tmp_path / "run.py").write_text(textwrap.dedent(SCRIPT))
