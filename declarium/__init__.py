@@ -1,6 +1,7 @@
 """Declarium: index and fuzzy search of C/C++ function signatures as Spark jobs."""
 
 from declarium.operators.extract import extract_functions
+from declarium.operators.grams import GramTable
 from declarium.operators.search import (
     fetch_candidates,
     rank_candidates,
@@ -14,6 +15,7 @@ from declarium.sources.index import SignatureIndex
 
 __all__ = [
     "FolderSource",
+    "GramTable",
     "SignatureIndex",
     "TableSource",
     "extract_functions",

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from declarium.functions.query import parse_queries
 from declarium.functions.text import ascii_fold, byte_form, strip, wildcard_pattern
+from declarium.operators.grams import COLUMNS, NAME, SIGNATURE, GramTable, grams, text_grams
 from declarium.operators.search import (
     FUNCTION_COLUMNS,
     candidate_order,
@@ -31,6 +32,8 @@ from declarium.plans.shared import written
 # Rows and bytes of text of a table derived from queries that may be broadcast.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Grams that may be named in a filter on the stored ones.
+PUSHED_GRAMS = 1_000
 # First functions that may be broadcast.
 FIRST_ROWS = 10_000
 # Slices of a join key where both sides are shuffled.
@@ -50,8 +53,6 @@ SAMPLED = 8
 # Pairs of texts up to which distances are taken of all that lengths allow; beyond, texts share a gram first.
 DENSE = 100_000_000
 
-NAME, SIGNATURE = "n", "s"
-
 
 class Extent(NamedTuple):
     """How many distinct texts and parts of queries there are, and bytes of the parts."""
@@ -99,11 +100,6 @@ def _sized(keyed: DataFrame, distinct: DataFrame) -> QuerySet:
     return QuerySet(keyed, distinct.drop("ids"), extent["total"], extent["count"], extent["bytes"])
 
 
-def _grams(text: Column, size: int) -> Column:
-    """All substrings of one length, in one pass over the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-
 def _probes(distinct: DataFrame) -> DataFrame:
     """One row per query part: its pattern, the longest literal run, and the grams to choose from."""
     sides = distinct.select(
@@ -127,7 +123,7 @@ def _probes(distinct: DataFrame) -> DataFrame:
     longest = F.aggregate(
         "runs", F.lit(""), lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best)
     )
-    three = F.array_distinct(F.flatten(F.transform("runs", lambda run: _grams(run, 3))))
+    three = F.array_distinct(F.flatten(F.transform("runs", lambda run: grams(run, 3))))
     return (
         folded.withColumn("run", longest)
         .withColumn("grams", F.when(F.length("run") >= 3, three).otherwise(F.array("run")))
@@ -135,18 +131,11 @@ def _probes(distinct: DataFrame) -> DataFrame:
     )
 
 
-def _text_grams(text: Column, sizes: list[int]) -> Column:
-    """Distinct grams of a function text, of the sizes the queries use."""
-    parts = [F.array(F.lit("")) if size == 0 else _grams(text, size) for size in sizes]
-    return F.array_distinct(reduce(lambda a, b: F.concat(a, b), parts))
-
-
 def _function_grams(functions: DataFrame, sizes: dict[str, list[int]], keep: list[str]) -> DataFrame:
     """One row per function, side and gram."""
     # Folded beforehand: an expression inside a lambda would be evaluated once per gram.
-    columns = {NAME: "name", SIGNATURE: "signature_norm"}
-    folded = functions.select(*keep, *(ascii_fold(F.col(columns[side])).alias(f"_{side}") for side in sorted(sizes)))
-    tagged = [_tagged(side, _text_grams(F.col(f"_{side}"), sizes[side])) for side in sorted(sizes)]
+    folded = functions.select(*keep, *(ascii_fold(F.col(COLUMNS[side])).alias(f"_{side}") for side in sorted(sizes)))
+    tagged = [_tagged(side, text_grams(F.col(f"_{side}"), sizes[side])) for side in sorted(sizes)]
     return folded.select(*keep, F.explode(F.concat(*tagged)).alias("_g")).select(*keep, "_g.*")
 
 
@@ -163,10 +152,12 @@ def _equi_join(big: DataFrame, small: DataFrame, keys: list[str], fits: bool, sa
     return salted.join(copies.hint("shuffle_merge"), [*keys, "_salt"]).drop("_salt")
 
 
-def _matches(functions: DataFrame, queries: QuerySet) -> DataFrame | None:
+def _matches(functions: DataFrame | GramTable, queries: QuerySet) -> DataFrame | None:
     """Every (query, function) pair where a part of the query matches, each once; None if no query
     has a part."""
     probes = written(_probes(queries.distinct))
+    if isinstance(functions, GramTable):
+        return None if probes.isEmpty() else _stored_matches(functions, probes, queries)
     # At most two sides times four sizes.
     used = probes.select("side", F.explode("grams").alias("gram")).select("side", F.length("gram").alias("size"))
     sizes: dict[str, list[int]] = {}
@@ -181,18 +172,58 @@ def _matches(functions: DataFrame, queries: QuerySet) -> DataFrame | None:
         choices = choices.join(counts, ["side", "gram"], "left")
     else:
         choices = choices.withColumn("n", F.lit(0))
-    rarest = choices.groupBy("qkey", "side").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram").alias("gram")))["gram"].alias("gram")
-    )
-    chosen = probes.drop("grams").join(rarest, ["qkey", "side"])
+    chosen = _with_rarest(probes, choices)
     rows = _function_grams(functions.select(*FUNCTION_COLUMNS), sizes, FUNCTION_COLUMNS)
     # Two probes per query, each with up to three forms of its text.
     joined = _equi_join(rows, chosen, ["side", "gram"], queries.fits(6), ["path", "line", "column"])
     text = ascii_fold(F.when(F.col("side") == NAME, F.col("name")).otherwise(F.col("signature_norm")))
-    whole = F.contains(text, F.col("run")) & (~F.col("wild") | F.like(text, F.col("pattern")))
-    # The name side already yields a function whose name matches.
-    again = F.coalesce(F.like(ascii_fold(F.col("name")), F.col("name_pattern")), F.lit(False))
-    return joined.where(whole).where(~again).select("qkey", *FUNCTION_COLUMNS)
+    return joined.where(_holds(text)).where(~_again()).select("qkey", *FUNCTION_COLUMNS)
+
+
+def _holds(text: Column) -> Column:
+    """Whether a text matches the pattern of the probe beside it."""
+    return F.contains(text, F.col("run")) & (~F.col("wild") | F.like(text, F.col("pattern")))
+
+
+def _again() -> Column:
+    """The name side already yields a function whose name matches."""
+    return F.coalesce(F.like(ascii_fold(F.col("name")), F.col("name_pattern")), F.lit(False))
+
+
+def _with_rarest(probes: DataFrame, choices: DataFrame) -> DataFrame:
+    """The probes, each with that of its grams that the fewest texts have."""
+    rarest = choices.groupBy("qkey", "side").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram").alias("gram")))["gram"].alias("gram")
+    )
+    return probes.drop("grams").join(rarest, ["qkey", "side"])
+
+
+def _stored_matches(table: GramTable, probes: DataFrame, queries: QuerySet) -> DataFrame:
+    """The pairs by stored grams: gram to text, the pattern on each distinct text, text to functions."""
+    choices = written(probes.select("qkey", "side", F.explode("grams").alias("gram")))
+    asked = choices.select("side", "gram").distinct()
+    size = asked.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)).alias("bytes")).first()
+    few = _fits(size["rows"], size["bytes"])
+    counts = table.counts.join(_small(asked, few), ["side", "gram"], "left_semi")
+    counts = counts.groupBy("side", "gram").agg(F.sum("n").alias("n"))
+    chosen = written(_with_rarest(probes, choices.join(counts, ["side", "gram"], "left")))
+    postings = table.postings
+    if 2 * queries.count <= PUSHED_GRAMS:
+        # Few enough to be looked up: the rows lie sorted by gram.
+        postings = postings.where(F.col("gram").isin([row["gram"] for row in chosen.select("gram").distinct().collect()]))
+    found = _equi_join(postings, chosen.select("qkey", "side", "gram"), ["side", "gram"], queries.fits(6), ["text_id"])
+    found = found.select("qkey", "side", "text_id").join(table.texts, ["side", "text_id"])
+    tests = _small(chosen.drop("gram"), queries.fits(6))
+    # Several folders may hold a text.
+    held = found.join(tests, ["qkey", "side"]).where(_holds(F.col("text"))).select("qkey", "side", "text_id", "text", "name_pattern")
+    held = written(held.distinct())
+    functions, parts = table.functions, []
+    for side, column in COLUMNS.items():
+        folded = ascii_fold(F.col(column))
+        keyed = functions.withColumn("text_id", F.xxhash64(folded))
+        # Two texts may share an id.
+        parts.append(keyed.join(held.where(F.col("side") == side), "text_id").where(folded == F.col("text")))
+    return parts[0].unionByName(parts[1].where(~_again())).select("qkey", *FUNCTION_COLUMNS)
 
 
 def _first_functions(functions: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -211,10 +242,14 @@ def _with_first(queries: DataFrame, first: DataFrame, n: int) -> DataFrame:
     return numbered.join(first, "seq")
 
 
-def _candidates(functions: DataFrame, queries: QuerySet, limit: int) -> DataFrame:
+def _rows(functions: DataFrame | GramTable) -> DataFrame:
+    return functions.functions if isinstance(functions, GramTable) else functions
+
+
+def _candidates(functions: DataFrame | GramTable, queries: QuerySet, limit: int) -> DataFrame:
     """Candidates per distinct query: first matches by name, or first functions if none matches."""
     matched = _matches(functions, queries)
-    order = candidate_order()
+    functions, order = _rows(functions), candidate_order()
     packed = F.struct(*FUNCTION_COLUMNS)
     asked = queries.distinct
     if matched is None:
@@ -250,16 +285,16 @@ def _by_id(hits: DataFrame, queries: QuerySet, *found: str) -> DataFrame:
     return keyed.join(hits, "qkey").select(*columns)
 
 
-def candidates_batch(functions: DataFrame, queries: DataFrame, limit: int = 500) -> DataFrame:
+def candidates_batch(functions: DataFrame | GramTable, queries: DataFrame, limit: int = 500) -> DataFrame:
     """Candidates of every query, as the single search would rank them; a negative ``limit`` means
     all of them."""
     asked = _query_set(queries)
-    limit = limit if limit >= 0 else functions.count()
+    limit = limit if limit >= 0 else _rows(functions).count()
     return _by_id(_candidates(functions, asked, limit), asked)
 
 
 def search_batch(
-    functions: DataFrame,
+    functions: DataFrame | GramTable,
     queries: DataFrame,
     top: int = 20,
     candidate_limit: int | None = None,
@@ -267,7 +302,7 @@ def search_batch(
 ) -> DataFrame:
     """Hits of every query in ``query_id, query_text``, as the single search finds them.
 
-    Queries with null text have no hits; ``parse_queries`` tells which they are. A negative
+    A ``GramTable`` keeps the grams of the functions from one search to the next. Queries with null text have no hits; ``parse_queries`` tells which they are. A negative
     ``candidate_limit`` ranks all matches, and all functions where none matches.
     """
     top = max(0, top)
@@ -285,8 +320,8 @@ def search_batch(
     return _by_id(hits.select("qkey", "rank", "score", *FUNCTION_COLUMNS), asked, "rank", "score")
 
 
-def _unlimited(functions: DataFrame, asked: QuerySet, top: int) -> DataFrame:
-    matched = _matches(functions, asked)
+def _unlimited(functions: DataFrame | GramTable, asked: QuerySet, top: int) -> DataFrame:
+    matched, functions = _matches(functions, asked), _rows(functions)
     columns = ["qkey", "rank", "score", *FUNCTION_COLUMNS]
     if matched is None:
         return _exact(functions, asked, top, None).select(*columns)
@@ -342,7 +377,7 @@ def _near_by_length(texts: DataFrame, most: int, parts: DataFrame, extent: Exten
 def _positional_grams(rows: DataFrame, column: str, place: str) -> DataFrame:
     """One row per gram of a text with stand-ins for two letters before and behind it, and its place."""
     padded = F.concat(F.lit("\x01" * (GRAM - 1)), F.col(column), F.lit("\x02" * (GRAM - 1)))
-    return rows.select(column, F.posexplode(_grams(padded, GRAM)).alias(place, "gram"))
+    return rows.select(column, F.posexplode(grams(padded, GRAM)).alias(place, "gram"))
 
 
 def _near_by_grams(texts: DataFrame, parts: DataFrame, extent: Extent, radius: int) -> DataFrame:

@@ -20,6 +20,7 @@ from declarium.functions.text import edit_distance, normalise, tokens
 from declarium.operators.batch import candidates_batch, search_batch, search_exact_batch
 from declarium.operators.changes import detect_changes
 from declarium.operators.extract import explode_functions, extract_functions
+from declarium.operators.grams import GramTable
 from declarium.operators.search import fetch_candidates, search, search_interactive
 from declarium.plans.refresh import refresh, refresh_and_search
 from declarium.plans.shared import fresh_folder, written
@@ -359,7 +360,7 @@ def stream_index_changes(spark, sf_dir):
 
 
 def stream_search_queries(spark, sf_dir):
-    functions = written(code_functions(spark, sf_dir))
+    functions = GramTable.of(written(code_functions(spark, sf_dir)), fresh_folder(spark))
     hits = fresh_folder(spark)
     asked = _streamed(part_queries(spark, sf_dir), 2, fresh_folder(spark))
     stream_search(asked, lambda: functions, hits, fresh_folder(spark), top=5, candidate_limit=40).awaitTermination()

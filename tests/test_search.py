@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from declarium import (
+    GramTable,
     fetch_candidates,
     rank_candidates,
     search,
@@ -131,6 +132,27 @@ def test_batch_unlimited(functions, rows, queries, parts):
         assert keys(found.get(number, [])) == keys(model.search(rows, name, signature, 6, -1)), QUERIES[number]
 
 
+@pytest.mark.parametrize("bound", [200_000, -1])
+@pytest.mark.parametrize("limit", [20, -1])
+def test_stored_grams(functions, rows, queries, parts, monkeypatch, tmp_path, bound, limit):
+    monkeypatch.setattr(batch, "BROADCAST_ROWS", bound)
+    table = GramTable.of(functions, str(tmp_path / "grams"))
+    found = by_query(search_batch(table, queries, top=6, candidate_limit=limit))
+    for number, (name, signature) in parts.items():
+        assert keys(found.get(number, [])) == keys(model.search(rows, name, signature, 6, limit)), QUERIES[number]
+
+
+def test_search_with_stored_grams_derives_none(functions, queries, monkeypatch, tmp_path):
+    table, plans, real = GramTable.of(functions, str(tmp_path / "grams")), [], batch.written
+    monkeypatch.setattr(batch, "written", lambda df: (plans.append(plan(df)), real(df))[1])
+    plans.append(plan(search_batch(table, queries, top=5)))
+    # The stored grams are read once, by key and without any text; texts are read, never cut into grams.
+    joins = [p for p in plans if "ReadSchema: struct<side:string,gram:string,text_id:bigint>" in p]
+    assert len(joins) == 1 and "In(gram, [" in joins[0]
+    texts = [p for p in plans if "signature_norm:string" in p or "text_id:bigint,text:string" in p]
+    assert texts and not any("regexp_extract_all" in p for p in texts)
+
+
 @pytest.mark.parametrize("bound", [200_000, -1])
 def test_exact_batch(functions, rows, queries, parts, monkeypatch, bound):
     monkeypatch.setattr(batch, "BROADCAST_ROWS", bound)
