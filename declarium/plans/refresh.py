@@ -33,7 +33,8 @@ def refresh(
     """Parse new and changed files and commit them; returns the counts of this run.
 
     Files go in batches of about ``max_files_per_batch``, each committed by itself: a run that is
-    stopped or dies keeps what it committed, and the next one goes on with the rest. Files that
+    stopped or dies keeps what it committed, and the next one goes on with the rest. A table is read
+    once for all batches, its queued contents dealt into a folder for each. Files that
     vanished stay in the index unless ``prune`` is set.
     """
     started, observers = time.time(), [progress] if progress else []
@@ -55,14 +56,26 @@ def refresh(
     everything = summary["files_skipped"] == 0 and max_files_per_batch is None and known is None
     size = max_files_per_batch or source.batch_files or summary["files_queued"]
     batches = 1 if everything else math.ceil(summary["files_queued"] / max(1, size))
+    number_of = F.pmod(F.xxhash64("path"), F.lit(batches)).cast("int")
+    dealt = None
     for number in range(batches if summary["files_queued"] else 0):
         if should_stop is not None and should_stop():
             summary["canceled"] = True
             break
-        part = queue.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == number)
-        if batches > 1 and part.isEmpty():
+        if batches > 1 and getattr(source, "one_pass", False):
+            if dealt is None:
+                # The source is read once for all batches, each batch reads its own folder.
+                contents = source.contents(queue, everything).withColumn("batch", number_of)
+                dealt = written(contents.hint("rebalance", "batch"), "batch")
+            contents = dealt.where(F.col("batch") == number).drop("batch")
+            empty = contents.select("path").isEmpty()
+        else:
+            part = queue.where(number_of == number)
+            empty = batches > 1 and part.isEmpty()
+            contents = source.contents(part, everything)
+        if empty:
             continue
-        counts = index.add(extractor(source.contents(part, everything)))
+        counts = index.add(extractor(contents))
         for name, count in counts.items():
             summary[name] += count
         summary["files_done"] += counts["files_indexed"] + counts["files_failed"]

@@ -32,9 +32,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` and read it back: computed once, and not lost with an executor."""
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    """Write ``df``, in folders by ``parts`` if given, and read it back: computed once, and not lost with an
+    executor."""
     spark = df.sparkSession
     folder = fresh_folder(spark)
-    df.write.parquet(folder)
+    writer = df.write.partitionBy(*parts) if parts else df.write
+    writer.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -46,6 +46,8 @@ class FolderSource:
 
     # Paths go through the driver when only some files are read, so they go in batches.
     batch_files = 100_000
+    # A batch opens its own files only.
+    one_pass = False
 
     def __init__(self, spark: SparkSession, root: str, hidden_folders: list[str] | None = None):
         self.spark = spark
@@ -90,7 +92,7 @@ class FolderSource:
         return self._described(self._reader().load(paths), "content")
 
     def stream(self, max_files_per_trigger: int = 10_000) -> DataFrame:
-        """New files as they appear. Edits of a file already seen need :func:`refresh`."""
+        """New files as they appear. Edits of a file already seen need :func:`refresh` or :func:`watch`."""
         reader = self._reader(stream=True).schema(BINARY_FILE).option("maxFilesPerTrigger", max_files_per_trigger)
         files = reader.load(self.root)
         return self._described(files, "content")
@@ -105,6 +107,7 @@ class TableSource:
     latest time, then the greatest size, then any one content, always the same."""
 
     batch_files = None
+    one_pass = True
 
     def __init__(self, files: DataFrame):
         self.files = files.where(is_source(F.col("path"))).select(

@@ -305,5 +305,13 @@ ORACLE = {
     "format_hits": f"""WITH {PARTS} SELECT path || ':' || line || ':' || col AS location, params_text AS params,
         path || ':' || line || ':' || col || ': ' || name || ' :: ' || return_type || '(' || params_text || ')' AS hit FROM f""",
     "stream_index": f"{LIVE} SELECT {HIT} FROM live",
+    "stream_watch": f"{LIVE} SELECT {HIT} FROM live",
+    "stream_progress": f"""WITH {PARTS}, t AS (SELECT {COUNTS} FROM (SELECT p_partkey AS k FROM part)),
+        b AS (SELECT CAST(sum(strlen(squeezed) + breaks) AS BIGINT) AS first, CAST(sum(CASE k % 7
+          WHEN 0 THEN strlen(squeezed) + breaks + strlen('int edited_' || k || '(int a);') + 1
+          WHEN 1 THEN strlen(squeezed) + breaks + strlen('int broken(int a) {{') + 1
+          WHEN 2 THEN strlen('/* nothing left */') + 1 ELSE strlen(squeezed) + breaks END) AS BIGINT) AS later FROM p)
+        SELECT 0 AS run, n AS files_read, first AS bytes_read, n AS files_indexed, CAST(0 AS BIGINT) AS files_failed, CAST(2 * n AS BIGINT) AS functions_total FROM t, b
+        UNION ALL SELECT 1, n, later, c - x, x, 3 * e FROM t, b""",
     "stream_search": for_ids(ranked(candidates(PART_QUERIES, 40), "a", 5)),
 }

@@ -26,7 +26,8 @@ from declarium.plans.refresh import refresh, refresh_and_search
 from declarium.plans.shared import fresh_folder, written
 from declarium.sources.code import TableSource
 from declarium.sources.index import SignatureIndex
-from declarium.streaming.jobs import stream_index, stream_search
+from declarium.streaming.jobs import stream_index, stream_search, watch
+from declarium.streaming.progress import StreamProgress
 from examples.corpus import (
     code_files,
     code_functions,
@@ -359,6 +360,36 @@ def stream_index_changes(spark, sf_dir):
     return index.functions().select(*hit())
 
 
+def stream_progress(spark, sf_dir):
+    """What each of two runs of a stream read, as its listener tells, and what the index committed of it."""
+    index = SignatureIndex(spark, fresh_folder(spark))
+    folder, checkpoint = fresh_folder(spark), fresh_folder(spark)
+    told, rows, name = [], [], fresh_folder(spark).rsplit("/", 1)[1]
+    listener = StreamProgress(told.append, name)
+    spark.streams.addListener(listener)
+    try:
+        for run, records in enumerate((code_files(spark, sf_dir), later_files(spark, sf_dir))):
+            told.clear()
+            query = stream_index(_streamed(records, 2, folder), index, checkpoint, name)
+            query.awaitTermination()
+            listener.wait(query)
+            rows += [(run, t["batch_id"], t["files_read"], t["bytes_read"]) for t in told if t["event"] == "progress"]
+    finally:
+        spark.streams.removeListener(listener)
+    read = spark.createDataFrame(rows, "run int, batch_id bigint, files_read bigint, bytes_read bigint")
+    counts = ["files_read", "bytes_read", "files_indexed", "files_failed", "functions_total"]
+    both = read.join(index.history().where(F.col("stream") == name), "batch_id")
+    return both.groupBy("run").agg(*(F.sum(c).alias(c) for c in counts))
+
+
+def stream_watch(spark, sf_dir):
+    """A source that is listed again after its files were edited."""
+    index, checkpoint = SignatureIndex(spark, fresh_folder(spark)), fresh_folder(spark)
+    for records in (code_files(spark, sf_dir), later_files(spark, sf_dir)):
+        watch(TableSource(records), index, checkpoint).awaitTermination()
+    return index.functions().select(*hit())
+
+
 def stream_search_queries(spark, sf_dir):
     functions = GramTable.of(written(code_functions(spark, sf_dir)), fresh_folder(spark))
     hits = fresh_folder(spark)
@@ -413,4 +444,6 @@ QUERIES = {
     "format_hits": format_hits,
     "stream_index": stream_index_changes,
     "stream_search": stream_search_queries,
+    "stream_progress": stream_progress,
+    "stream_watch": stream_watch,
 }

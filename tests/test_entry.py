@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 RUN = (
     "scan_language extract_functions extract_positions extract_documents extract_errors extract_nested extract_conditional extract_directives extract_declarators params_json_unicode signature_norm "
     "tokenise_documents tokenise_pages query_grammar edit_distance_parts edit_distance_documents candidates_both "
-    "search_top search_batch search_exact change_detection live_functions params_json format_hits"
+    "search_top search_batch search_exact change_detection live_functions stream_progress params_json format_hits"
 ).split()
 
 
