@@ -17,8 +17,6 @@ from declarium.plans.shared import written
 from declarium.sources.index import SignatureIndex
 
 LOG = logging.getLogger(__name__)
-# Generations after which the present state is rewritten as one.
-COMPACT_AFTER = 50
 
 
 def refresh(
@@ -84,8 +82,7 @@ def refresh(
         gone = index.states().join(changes, "path", "left_anti").select("path")
         if not gone.isEmpty():
             index.remove(gone)
-    if len(index.generations()) > COMPACT_AFTER:
-        index.compact()
+    index.merge()
     summary["end_time"] = time.time()
     summary["duration_seconds"] = summary["end_time"] - started
     return summary
