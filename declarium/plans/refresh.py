@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from declarium.operators.changes import SKIPPED, detect_changes
 from declarium.operators.extract import extract_functions
 from declarium.operators.search import search
-from declarium.plans.shared import written
+from declarium.plans.shared import spread, written
 from declarium.sources.index import SignatureIndex
 
 LOG = logging.getLogger(__name__)
@@ -67,6 +67,8 @@ def refresh(
                 dealt = written(contents.hint("rebalance", "batch"), "batch")
             contents = dealt.where(F.col("batch") == number).drop("batch")
             empty = contents.select("path").isEmpty()
+            # The folder may be one file, which one task would parse.
+            contents = spread(contents)
         else:
             part = queue.where(number_of == number)
             empty = batches > 1 and part.isEmpty()
