@@ -177,6 +177,45 @@ def test_exact_batch_within(functions, rows, queries, parts):
         assert keys(found.get(number, [])) == keys(model.rank(near, name, signature, 7)), QUERIES[number]
 
 
+def test_lengths_and_letters_leave_every_near_text(spark):
+    draw = random.Random(7)
+    drawn = sorted({"".join(draw.choices("ab1_\u00e9(", k=draw.randint(0, 9))) for _ in range(90)})
+    texts, parts = spark.createDataFrame([(t,) for t in drawn], "text string"), spark.createDataFrame([(t, len(t) % 4) for t in drawn[::3]], "part string, radius int")
+    pairs = batch._near_by_length(texts, 9, parts, batch.Extent(len(drawn), 30, 300))
+    got = {(r.text, r.part) for r in pairs.collect()}
+    near = texts.join(parts).where("levenshtein(text, part) <= radius")
+    assert got >= {(r.text, r.part) for r in near.collect()}
+    # Texts of one length with too many other letters are no pair.
+    odd = spark.createDataFrame([("bcde1",), ("aaaa1",)], "text string"), spark.createDataFrame([("aaaa1", 2)], "part string, radius int")
+    assert [r.text for r in batch._near_by_length(odd[0], 5, odd[1], batch.Extent(2, 1, 5)).collect()] == ["aaaa1"]
+
+
+def test_names_are_measured_only_where_signatures_leave_room(spark, monkeypatch):
+    rows = [(f"{k}.c", f"get_{k}", "int", [], "void ( const char * , size_t )", 1, 1) for k in range(60)]
+    rows += [(f"x{k}.c", f"other_{k}", "int", [], "int ( int )", 1, 1) for k in range(30)]
+    asked, measured, real = spark.createDataFrame([(1, "get_7 :: int (int)")], "query_id long, query_text string"), [], batch._measured
+    monkeypatch.setattr(batch, "_measured", lambda pairs, *keep: (measured.append(pairs), real(pairs, *keep))[1])
+    hits = search_exact_batch(spark.createDataFrame(rows, SCHEMA), asked, top=3).collect()
+    assert [h["name"] for h in sorted(hits, key=lambda h: h["rank"])][0] == "other_7"
+    assert not any("get_" in r.text for r in measured[-1].collect())
+
+
+def test_exact_batch_by_shares_of_shares(functions, rows, queries, parts, monkeypatch):
+    monkeypatch.setattr(batch, "SAMPLED", 2)
+    monkeypatch.setattr(batch, "LEAST_PAIRS", 100)
+    found = by_query(search_exact_batch(functions, queries, top=7))
+    for number, (name, signature) in parts.items():
+        assert keys(found.get(number, [])) == keys(model.rank(rows, name, signature, 7)), QUERIES[number]
+
+
+def test_exact_batch_by_one_radius(functions, rows, queries, parts, monkeypatch):
+    monkeypatch.setattr(batch, "DENSE", 0)
+    assert batch.RADII == [3]
+    found = by_query(search_exact_batch(functions, queries, top=7))
+    for number, (name, signature) in parts.items():
+        assert keys(found.get(number, [])) == keys(model.rank(rows, name, signature, 7)), QUERIES[number]
+
+
 def test_few_functions_and_odd_queries(spark, functions):
     few = functions.limit(3)
     asked = spark.createDataFrame([(1, "main ::"), (2, None), (3, " "), (1_000, "none ::")], "query_id long, query_text string")
