@@ -216,6 +216,17 @@ def test_exact_batch_by_one_radius(functions, rows, queries, parts, monkeypatch)
         assert keys(found.get(number, [])) == keys(model.rank(rows, name, signature, 7)), QUERIES[number]
 
 
+@pytest.mark.parametrize("few", [0, 256])
+def test_few_query_parts_take_no_grams(functions, rows, queries, parts, monkeypatch, few):
+    monkeypatch.setattr(batch, "FEW_PROBES", few)
+    cut, real = [], batch._function_grams
+    monkeypatch.setattr(batch, "_function_grams", lambda *a: (cut.append(a), real(*a))[1])
+    found = by_query(search_batch(functions, queries, top=6))
+    assert bool(cut) == (few == 0)
+    for number, (name, signature) in parts.items():
+        assert keys(found.get(number, [])) == keys(model.search(rows, name, signature, 6, 200)), QUERIES[number]
+
+
 def test_few_functions_and_odd_queries(spark, functions):
     few = functions.limit(3)
     asked = spark.createDataFrame([(1, "main ::"), (2, None), (3, " "), (1_000, "none ::")], "query_id long, query_text string")
