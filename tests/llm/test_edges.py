@@ -292,3 +292,23 @@ def test_license_file_of_several_units(spark):
     files = [("/a/17", mit), ("/a/b/18", "int x;"), ("/c/19", lines), ("/c/20", "int y;"), ("/d/21", "Released under the MIT License.\n" + prose(40)), ("/d/22", "int z;")]
     got = {r.path: r.license for r in license_scan.scan(spark.createDataFrame(files, "path string, text string"), F.col("path")).collect()}
     assert got == {"/a/17": "MIT", "/a/b/18": "MIT", "/c/19": "MIT", "/c/20": "MIT", "/d/21": "MIT", "/d/22": None}
+
+
+@pytest.mark.parametrize("split", [2, 64])
+def test_near_dedup_finds_exactly_what_samples_miss(spark, monkeypatch, split):
+    # No two sketches agree in so many samples, so all links are left to the exact way.
+    monkeypatch.setattr(near_dedup, "LIKELY_MATCHES", 25)
+    monkeypatch.setattr(near_dedup, "LEAST_MATCHES", 25)
+    draw = random.Random(8)
+    passage = [f"p{k}" for k in range(40)]
+    texts = []
+    for i in range(40):
+        w = [f"{draw.randrange(1 << 30):x}" for _ in range(draw.randrange(20, 130))]
+        # Around the limit of the similarity; every third text holds a passage that many have, some twice.
+        w = w + passage * (1 + i % 2) if i % 3 == 0 else w
+        texts += [(4 * i + k, " ".join(w[: len(w) - k * (len(w) * (i % 7) // 24)] + [f"x{i}{k}"] * (k % 2))) for k in range(4)]
+    texts += [(500, "a b"), (501, "A, b"), (502, ""), (503, None), (None, texts[0][1])]
+    got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string"), split=split)
+    want = brute.near_classes(texts)
+    assert len(set(want.values())) > 40 and any(want[4 * i] != want[4 * i + 3] for i in range(40))
+    assert {r.doc_id: r.class_id for r in got.where("row.doc_id is not null").select("row.doc_id", "class_id").collect()} == want
