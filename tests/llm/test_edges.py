@@ -315,7 +315,7 @@ def test_near_dedup_finds_exactly_what_samples_miss(spark, monkeypatch, split):
 
 
 def test_near_dedup_compares_no_texts_that_share_too_little_of_their_prefixes(spark, monkeypatch):
-    # Documents 3i and 3i+1 share a passage, far too short for the similarity; 3i+2 is nearly 3i.
+    # Documents 4i and 4i+1 share a passage, far too short for the similarity; 4i+3 is nearly 4i+2.
     draw, compared, verified = random.Random(11), [], near_dedup._verified
 
     def counted(texts, pairs, *rest):
@@ -326,8 +326,8 @@ def test_near_dedup_compares_no_texts_that_share_too_little_of_their_prefixes(sp
     monkeypatch.setattr(near_dedup, "LIKELY_MATCHES", 25)
     texts = []
     for i in range(60):
-        a, b = ([f"{draw.randrange(1 << 30):x}" for _ in range(110)] for _ in range(2))
-        texts += [(3 * i, " ".join(a)), (3 * i + 1, " ".join(b[:90] + a[:20])), (3 * i + 2, " ".join(a[:108] + b[:2]))]
+        a, b, c = ([f"{draw.randrange(1 << 30):x}" for _ in range(110)] for _ in range(3))
+        texts += [(4 * i, " ".join(a)), (4 * i + 1, " ".join(b[:90] + a[:20])), (4 * i + 2, " ".join(c)), (4 * i + 3, " ".join(c[:108] + b[:2]))]
     got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string"))
     assert {r.doc_id: r.class_id for r in got.select("row.doc_id", "class_id").collect()} == brute.near_classes(texts)
-    assert sorted(compared) == [(3 * i, 3 * i + 2) for i in range(60)]
+    assert sorted(compared) == [(4 * i + 2, 4 * i + 3) for i in range(60)]
