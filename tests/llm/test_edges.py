@@ -331,3 +331,36 @@ def test_near_dedup_compares_no_texts_that_share_too_little_of_their_prefixes(sp
     got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string"))
     assert {r.doc_id: r.class_id for r in got.select("row.doc_id", "class_id").collect()} == brute.near_classes(texts)
     assert sorted(compared) == [(4 * i + 2, 4 * i + 3) for i in range(60)]
+
+
+def test_near_dedup_joins_all_texts_of_one_id(spark):
+    # Document 9 has the text of 3 and, in another row, that of 7, which 8 nearly has.
+    draw = random.Random(13)
+    a, b, c = (" ".join(f"{draw.randrange(1 << 30):x}" for _ in range(60)) for _ in range(3))
+    texts = [(3, a), (9, a), (9, b), (7, b), (8, b + " end"), (10, c), (10, "one two"), (11, "one two")]
+    got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string"))
+    want = brute.near_classes(texts)
+    assert want[8] == 3 and {r.doc_id: r.class_id for r in got.select("row.doc_id", "class_id").collect()} == want
+
+
+def test_near_dedup_does_not_compare_all_pairs_of_a_group(spark, monkeypatch):
+    # Copies of one text, each changed at three places: near to the text itself, which has the last id, but not to each other.
+    draw, compared, verified = random.Random(17), [], near_dedup._verified
+
+    def counted(texts, pairs, *rest):
+        compared.append(pairs.count())
+        return verified(texts, pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    monkeypatch.setattr(near_dedup, "LIKELY_MATCHES", 25)
+    base = [f"{draw.randrange(1 << 30):x}" for _ in range(200)]
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for k in range(3):
+            w[draw.randrange(200)] = f"new{i}x{k}"
+        texts.append((i, " ".join(w)))
+    texts.append((120, " ".join(base)))
+    got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string"), split=16)
+    assert {r.doc_id: r.class_id for r in got.select("row.doc_id", "class_id").collect()} == brute.near_classes(texts)
+    assert sum(compared) < 4 * len(texts)
