@@ -216,6 +216,19 @@ def test_exact_batch_by_one_radius(functions, rows, queries, parts, monkeypatch)
         assert keys(found.get(number, [])) == keys(model.rank(rows, name, signature, 7)), QUERIES[number]
 
 
+def test_exact_batch_seeks_no_common_grams(spark, monkeypatch):
+    # All names share their grams: the small radius, which looks for them, is left out.
+    monkeypatch.setattr(batch, "DENSE", 0)
+    monkeypatch.setattr(batch, "FEW_SHARING", 0, raising=False)
+    sought, real = [], batch._near_by_grams
+    monkeypatch.setattr(batch, "_near_by_grams", lambda *args: (sought.append(args), real(*args))[1])
+    rows = [(f"{k}.c", f"get_{k}", "int", [], "int ( int )", 1, 1) for k in range(100, 300)]
+    asked = spark.createDataFrame([(1, "get150_x :: "), (2, "get_2777 :: ")], "query_id long, query_text string")
+    found = by_query(search_exact_batch(spark.createDataFrame(rows, SCHEMA), asked, top=3))
+    assert {n: [h["name"] for h in sorted(hits, key=lambda h: h["rank"])][0] for n, hits in found.items()} == {1: "get_150", 2: "get_277"}
+    assert not sought
+
+
 @pytest.mark.parametrize("few", [0, 256])
 def test_few_query_parts_take_no_grams(functions, rows, queries, parts, monkeypatch, few):
     monkeypatch.setattr(batch, "FEW_PROBES", few)
